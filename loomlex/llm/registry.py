@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomlex.llm import mixture, packing, termcount
+from loomlex.llm import mixture, packing, spam, termcount
 
-MODULES = (termcount, packing, mixture)
+MODULES = (termcount, packing, mixture, spam)
 
 
 def queries() -> dict:
