@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomlex.llm import mixture, packing, spam, termcount
+from loomlex.llm import mixture, mojibake, packing, spam, termcount
 
-MODULES = (termcount, packing, mixture, spam)
+MODULES = (mojibake, termcount, packing, mixture, spam)
 
 
 def queries() -> dict:
