@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomlex.llm import language, mixture, mojibake, packing, spam, termcount
+from loomlex.llm import language, mixture, mojibake, packing, scans, spam, termcount
 
-MODULES = (language, mojibake, termcount, packing, mixture, spam)
+MODULES = (language, mojibake, scans, termcount, packing, mixture, spam)
 
 
 def queries() -> dict:
