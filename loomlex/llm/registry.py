@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomlex.llm import language, mixture, mojibake, packing, reflink, scans, spam, termcount
+from loomlex.llm import language, mixture, mojibake, names, packing, reflink, scans, spam, termcount
 
-MODULES = (language, mojibake, reflink, scans, termcount, packing, mixture, spam)
+MODULES = (language, mojibake, names, reflink, scans, termcount, packing, mixture, spam)
 
 
 def queries() -> dict:
