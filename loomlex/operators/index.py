@@ -17,7 +17,7 @@ from loomlex.functions import text as T
 from loomlex.session import ship_package
 
 #: A run of letters, a run of digits, or one other visible character.
-TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]"
+TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\p{Z}\s]"
 #: Text up to a mark that ends a sentence.
 SENTENCE = "[^.!?…]+[.!?…]?|[.!?…]"
 LONGEST = 120
