@@ -1,2 +1,468 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the relational tables: filters, joins, roll-ups, set operations, logs, the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomlex.functions import text as T
+from loomlex.functions.udf import repair_cp1251_udf, slug_udf
+from loomlex.operators import analytics, catalog, geo, maintenance, search, subcorpus
+from loomlex.plans.corpus_queries import ARTICLE, TEXT
+from loomlex.session import table
+from loomlex.sinks import exports
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "article_author")
+
+
+def _names(spark, d):
+    return table(spark, d, "author").select("author_id", "last_name", "first_name", "middle_name")
+
+
+# ---- filters and joins
+
+
+def flt1_composite_filter(spark, d):
+    a = catalog.published(spark, d)
+    f = search.ArticleFilter(year_from=2005, year_to=2023, language="ru", keyword="рынок")
+    return search.apply_filter(a, f, _links(spark, d), catalog.keyword_links(a)).select("article_id", "year", "title")
+
+
+def flt1_by_author(spark, d):
+    return search.apply_filter(catalog.published(spark, d), search.ArticleFilter(author_id=4), _links(spark, d)).select("article_id")
+
+
+def src2_published(spark, d):
+    return catalog.published(spark, d).select("article_id", "slug", "year")
+
+
+def flt15_issue_visibility(spark, d):
+    a = catalog.articles(spark, d)
+    return a.groupBy("year").agg(F.count(F.lit(1)).alias("all_articles"), F.count_if("is_published").alias("published_articles"))
+
+
+def ts6_metadata_results(spark, d):
+    return search.metadata_results(catalog.published(spark, d))
+
+
+def l2_catalogue_page(spark, d):
+    return analytics.page(search.metadata_results(catalog.published(spark, d)), 40, 20)
+
+
+def j1_issue_join(spark, d):
+    a = catalog.articles(spark, d)
+    issues = a.where("issue_title is not null").groupBy("year", "volume", "number").agg(F.min("issue_title").alias("issue"))
+    return a.join(issues, ["year", "volume", "number"], "left").select("article_id", T.text(F.col("issue")).alias("issue"), T.text(F.col("section")).alias("section"))
+
+
+def j2_author_lines(spark, d):
+    return catalog.author_line(catalog.author_links(spark, d))
+
+
+def j12_related(spark, d):
+    return search.related(catalog.published(spark, d))
+
+
+def flt17_suggest_titles(spark, d):
+    return search.suggestions(catalog.published(spark, d), "title", "region", 20)
+
+
+def flt17_suggest_volumes(spark, d):
+    return search.suggestions(catalog.articles(spark, d), "volume", "1", 400)
+
+
+def flt13_city_filter(spark, d):
+    return search.resolve_city(table(spark, d, "city_location"), "г. Пижев").select("city_location_id", "display_name")
+
+
+def ts9_recent_searches(spark, d):
+    log = table(spark, d, "user_activity").dropDuplicates(["activity_id"]).where("activity_type = 'search'")
+    return search.recent(log, 128, 6).select("activity_id", "title")
+
+
+def l11_choices(spark, d):
+    return catalog.published(spark, d).orderBy(F.desc("year"), F.desc_nulls_first("volume"), "title", "article_id").limit(50).select("article_id", "year", "volume", "title")
+
+
+def l6_title_order(spark, d):
+    a = catalog.published(spark, d).select("article_id", "title")
+    w = Window.orderBy("rank", "low", "title", "article_id")
+    first = a.withColumn("rank", T.title_rank(F.col("title"))).withColumn("low", F.lower("title")).orderBy("rank", "low", "title", "article_id").limit(100)
+    return first.select("article_id", "rank", F.row_number().over(w).alias("place"))  # a window over at most 100 rows
+
+
+# ---- aggregation
+
+
+def agg7_per_year(spark, d):
+    return analytics.per_year(catalog.published(spark, d))
+
+
+def agg8_top_authors(spark, d):
+    return analytics.top_authors(_links(spark, d), catalog.articles(spark, d), _names(spark, d)).select("author_id", "last_name", "articles")
+
+
+def agg9_corpus_stats(spark, d):
+    sizes = catalog.texts(spark, d).select("article_id", F.length(T.text(F.col("body_text"))).cast("bigint").alias("token_count"))
+    return analytics.corpus_stats(catalog.articles(spark, d), _links(spark, d), sizes).withColumnRenamed("tokens", "characters")
+
+
+def agg10_issue_counts(spark, d):
+    return analytics.issue_counts(catalog.articles(spark, d), _links(spark, d))
+
+
+def _geo(spark, d):
+    return geo.base(_links(spark, d), catalog.articles(spark, d), catalog.placed_affiliations(spark, d))
+
+
+def agg12_city_rollup(spark, d):
+    return geo.cities(_geo(spark, d)).select("city_location_id", "display_name", "articles", "authors", "affiliations")
+
+
+def agg13_country_rollup(spark, d):
+    return geo.countries(_geo(spark, d))
+
+
+def agg14_activity_histogram(spark, d):
+    return geo.activity_histogram(geo.cities(_geo(spark, d))).select("label", "cities", "articles")
+
+
+def agg15_geo_articles(spark, d):
+    return geo.article_list(_geo(spark, d)).select("article_id", "year", "authors")
+
+
+def agg16_city_timeline(spark, d):
+    return geo.timeline(geo.of_city(_geo(spark, d), 101))
+
+
+def agg17_city_totals(spark, d):
+    return geo.totals(geo.of_city(_geo(spark, d), 101))
+
+
+def agg18_geo_totals(spark, d):
+    return geo.totals(_geo(spark, d))
+
+
+def agg18_top_city(spark, d):
+    return geo.top_city(geo.cities(_geo(spark, d))).select("city_location_id", "articles")
+
+
+def agg19_empty_cities(spark, d):
+    rows = geo.cities(_geo(spark, d)).select("city_location_id", "display_name", "country", "articles", "authors")
+    return geo.with_empty_city(rows, table(spark, d, "city_location").select("city_location_id", "display_name", "country"))
+
+
+def j8_resolved_affiliations(spark, d):
+    seeds = geo.from_cities(table(spark, d, "city_location"))
+    return geo.resolve(table(spark, d, "affiliation"), seeds, "affiliation_id", "city").select("affiliation_id", "seed", "display_name")
+
+
+def m12_refresh_geography(spark, d):
+    return geo.refresh_geography(table(spark, d, "affiliation"), geo.from_cities(table(spark, d, "city_location"))).select("affiliation_id", "city_name", "geography_source", "geography_confidence")
+
+
+def scl33_markers(spark, d):
+    c = geo.cities(_geo(spark, d))
+    return c.select("city_location_id", geo.level(F.col("articles")).alias("level"), geo.marker(F.col("country")).alias("marker"))
+
+
+def agg26_logins_by_quarter_hour(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy(F.window("ts", "15 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events")).select(F.unix_timestamp("w.start").alias("start_s"), "user_id", "events")
+
+
+# ---- set operations, sub-corpora, marks
+
+
+def set1_scope_union(spark, d):
+    a = catalog.published(spark, d)
+    return analytics.union_scope(a.where("year = 2020"), a.where("language = 'en'"))
+
+
+def _members(spark, d):
+    a = catalog.articles(spark, d)
+    sub = F.pmod(F.col("article_id"), F.lit(7)).alias("subcorpus_id")
+    return a.where("year >= 2018").select(sub, "article_id", F.when(F.col("is_published"), "filter").otherwise("manual").alias("source"))
+
+
+def set3_membership_refresh(spark, d):
+    chosen = catalog.articles(spark, d).where("year >= 2020").select(F.pmod(F.col("article_id"), F.lit(7)).alias("subcorpus_id"), "article_id")
+    return subcorpus.refresh(_members(spark, d), chosen)
+
+
+def agg20_subcorpus_totals(spark, d):
+    sizes = catalog.texts(spark, d).select("article_id", F.length(T.text(F.col("body_text"))).cast("bigint").alias("token_count"))
+    return subcorpus.totals(_members(spark, d), sizes)
+
+
+def flt11_candidates(spark, d):
+    return subcorpus.candidates(catalog.published(spark, d), _members(spark, d), 3).select("article_id", "year")
+
+
+def l10_members(spark, d):
+    return subcorpus.ordered_members(_members(spark, d), catalog.articles(spark, d)).select("subcorpus_id", "article_id", "source")
+
+
+def m13_add_remove(spark, d):
+    extra = catalog.articles(spark, d).where("year = 2005").select(F.lit(1).cast("bigint").alias("subcorpus_id"), "article_id")
+    left, _ = subcorpus.remove_members(subcorpus.add_members(_members(spark, d), extra), catalog.articles(spark, d).where("year = 2021").select(F.pmod(F.col("article_id"), F.lit(7)).alias("subcorpus_id"), "article_id"))
+    return left
+
+
+def _marks(spark, d):
+    """Marks made from the activity log: one a row, at a place that follows from its id."""
+    e = table(spark, d, "user_activity").dropDuplicates(["activity_id"])
+    start = F.pmod(F.col("activity_id") * 37, F.lit(900)).cast("int")
+    return e.select(F.col("activity_id").alias("mark_id"), "user_id", (F.pmod("activity_id", F.lit(50)) + 1).alias("article_id"), start.alias("char_start"), (start + 10 + F.pmod("activity_id", F.lit(60)).cast("int")).alias("char_end"), "updated_at")
+
+
+def j9_overlapping_marks(spark, d):
+    m = _marks(spark, d)
+    later = m.where("mark_id % 2 = 1").select(F.col("mark_id").alias("wanted_id"), "user_id", "article_id", "char_start", "char_end")
+    return subcorpus.overlapping(m.where("mark_id % 2 = 0"), later)
+
+
+def m16_new_marks(spark, d):
+    m = _marks(spark, d)
+    later = m.where("mark_id % 2 = 1").select(F.col("mark_id").alias("wanted_id"), "user_id", "article_id", "char_start", "char_end")
+    return subcorpus.new_marks(m.where("mark_id % 2 = 0"), later, catalog.texts(spark, d)).select("wanted_id", "char_start", "char_end")
+
+
+def w9_grouped_marks(spark, d):
+    return subcorpus.grouped_marks(_marks(spark, d)).select("mark_id", "user_id", "article_id", "place")
+
+
+def agg21_mark_counts(spark, d):
+    return subcorpus.mark_counts(_marks(spark, d))
+
+
+# ---- maintenance
+
+
+def m5_newest_records(spark, d):
+    return catalog.articles(spark, d).select("article_id", "record_id")
+
+
+def m4_upsert(spark, d):
+    r = table(spark, d, "article_metadata").select("article_id", "record_id", "title")
+    late = catalog.newest(table(spark, d, "article_metadata"), "article_id", "ingested_at", "record_id").where("year >= 2015").select("article_id", "record_id", "title")
+    first = maintenance.first_seen(r, ["article_id"], "record_id")
+    return maintenance.upsert(first, late, ["article_id"]).select("article_id", "record_id")
+
+
+def m6_match_uploads(spark, d):
+    up = table(spark, d, "article_metadata").select(F.col("record_id").alias("upload_id"), "doi", "title", "year", "volume", "number")
+    return maintenance.match_uploads(up, catalog.articles(spark, d))
+
+
+def m7_keywords(spark, d):
+    return maintenance.split_keywords(catalog.texts(spark, d), "article_id", "keywords_text").select("article_id", "normalized")
+
+
+def m8_orphans(spark, d):
+    return maintenance.orphans(table(spark, d, "author"), table(spark, d, "affiliation"), _links(spark, d))
+
+
+def m10_unseen(spark, d):
+    r = table(spark, d, "article_metadata")
+    return maintenance.unseen(r.select("slug", "record_id"), r.where("year < 2020"), "slug")
+
+
+def w11_author_order(spark, d):
+    return maintenance.numbered_authors(catalog.articles(spark, d)).select("article_id", "author_order", T.text(F.col("last_name")).alias("last_name"))
+
+
+def w12_unique_slugs(spark, d):
+    return maintenance.unique_slugs(catalog.articles(spark, d).select("article_id", "title"), "title", "article_id").select("article_id", "slug")
+
+
+def w10_first_seen(spark, d):
+    return maintenance.first_seen(table(spark, d, "user_activity").select("user_id", "activity_type", "activity_id").distinct(), ["user_id", "activity_type"], "activity_id")
+
+
+def m23_activity(spark, d):
+    e = table(spark, d, "user_activity").dropDuplicates(["activity_id"])
+    return e.groupBy("activity_type").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("user_id").alias("users"))
+
+
+# ---- scalar functions
+
+
+def scl25_labels(spark, d):
+    c = table(spark, d, "city_location").select(F.lit("city").alias("kind"), F.col("city_location_id").alias("id"), T.city_label(F.col("display_name"), F.col("region"), F.col("country")).alias("label"))
+    a = table(spark, d, "author").select(F.lit("author"), "author_id", T.full_name(F.col("last_name"), F.col("first_name"), F.col("middle_name")))
+    i = catalog.articles(spark, d).select(F.lit("issue"), "article_id", T.issue_label(F.col("year"), F.col("volume"), F.col("number")))
+    return c.union(a).union(i)
+
+
+def scl21_city_keys(spark, d):
+    return table(spark, d, "affiliation").select("affiliation_id", T.city_key(F.col("city")).alias("city_key"))
+
+
+def scl36_payloads(spark, d):
+    e = table(spark, d, "user_activity").dropDuplicates(["activity_id"])
+    p = F.from_json("payload", "map<string,string>")
+    return e.select("activity_id", F.coalesce(F.size(T.clean_payload(p)), F.lit(-1)).alias("keys"), F.try_element_at(p, F.lit("search_mode")).alias("mode"), F.coalesce(T.has_filters(p), F.lit(False)).alias("has_filters"))
+
+
+def scl27_query_strings(spark, d):
+    e = table(spark, d, "user_activity").dropDuplicates(["activity_id"])
+    return e.select("activity_id", T.query_string(F.from_json("payload", "map<string,string>")).alias("query")).where("query is not null")
+
+
+def scl20_file_kinds(spark, d):
+    return catalog.articles(spark, d).groupBy(T.file_kind(F.col("source_file")).alias("kind")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def scl30_dates(spark, d):
+    e = table(spark, d, "article_metadata").select("record_id", F.concat_ws(".", F.lit("3"), F.lit("11"), F.col("year").cast("string")).alias("raw"))
+    return e.select("record_id", F.date_format(T.parse_date(F.col("raw")), "yyyy-MM-dd").alias("day"))
+
+
+def scl18_split_names(spark, d):
+    n = catalog.author_links(spark, d).select("article_id", "author_order", T.squeeze(F.col("name")).alias("name"))
+    return n.select("article_id", "author_order", T.split_name(F.col("name")).alias("n")).select("article_id", "author_order", "n.*")
+
+
+def scl22_mojibake(spark, d):
+    e = table(spark, d, "user_activity").dropDuplicates(["activity_id"])
+    return e.select("activity_id", repair_cp1251_udf("title").alias("title")).join(e.select("activity_id", F.col("title").alias("raw")), "activity_id").where("title <> raw").select("activity_id", "title")
+
+
+def scl19_slugs(spark, d):
+    return catalog.articles(spark, d).select("article_id", slug_udf("title").alias("slug"))
+
+
+def scl34_signature(spark, d):
+    a = catalog.published(spark, d).select(F.concat_ws(":", "article_id", "year").alias("s"), F.pmod("article_id", F.lit(64)).alias("part"))
+    parts = a.groupBy("part").agg(F.sha1(F.array_join(F.array_sort(F.collect_list("s")), "|")).alias("signature"))
+    return parts.select("part", "signature")
+
+
+def src16_files(spark, d):
+    a = catalog.articles(spark, d)
+    return a.select("article_id", F.coalesce(F.nullif(T.text(F.col("source_file")), F.lit("")), F.nullif(T.text(F.col("text_file")), F.lit("")), F.nullif(T.text(F.col("original_url")), F.lit(""))).alias("place"))
+
+
+def src8_article_numbers(spark, d):
+    return catalog.articles(spark, d).select("article_id", F.regexp_extract(T.text(F.col("original_url")), r"/article/view/(\d+)", 1).alias("number"))
+
+
+def snk4_json_page(spark, d):
+    o, n = analytics.page_bounds(0, 20)
+    return exports.json_page(analytics.per_year(catalog.published(spark, d)), o, n)
+
+
+# ---- the star schema: the same shapes at the sizes of the bench
+
+
+def star_year_rollup(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy(F.year("o_orderdate").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def star_supplier_rollup(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return li.join(s, li["l_suppkey"] == s["s_suppkey"]).join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts"))
+
+
+def star_order_lines(spark, d):
+    li = table(spark, d, "lineitem").where("l_shipdate >= '1996-01-01'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    seq = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey")))
+    return li.groupBy("l_orderkey").agg(F.array_join(F.transform(seq, lambda s: s["l_suppkey"].cast("string")), ", ").alias("suppliers"))
+
+
+QUERIES = {f.__name__: f for f in (
+    flt1_composite_filter, flt1_by_author, src2_published, flt15_issue_visibility, ts6_metadata_results, l2_catalogue_page, j1_issue_join, j2_author_lines, j12_related, flt17_suggest_titles, flt17_suggest_volumes,
+    flt13_city_filter, ts9_recent_searches, l11_choices, l6_title_order, agg7_per_year, agg8_top_authors, agg9_corpus_stats, agg10_issue_counts, agg12_city_rollup, agg13_country_rollup, agg14_activity_histogram,
+    agg15_geo_articles, agg16_city_timeline, agg17_city_totals, agg18_geo_totals, agg18_top_city, agg19_empty_cities, j8_resolved_affiliations, m12_refresh_geography, scl33_markers, agg26_logins_by_quarter_hour,
+    set1_scope_union, set3_membership_refresh, agg20_subcorpus_totals, flt11_candidates, l10_members, m13_add_remove, j9_overlapping_marks, m16_new_marks, w9_grouped_marks, agg21_mark_counts, m5_newest_records,
+    m4_upsert, m6_match_uploads, m7_keywords, m8_orphans, m10_unseen, w11_author_order, w12_unique_slugs, w10_first_seen, m23_activity, scl25_labels, scl21_city_keys, scl36_payloads, scl27_query_strings,
+    scl20_file_kinds, scl30_dates, scl18_split_names, scl22_mojibake, scl19_slugs, scl34_signature, src16_files, src8_article_numbers, snk4_json_page, star_year_rollup, star_supplier_rollup, star_order_lines,
+)}
+
+A = f"WITH {ARTICLE}, pub AS (SELECT * FROM article WHERE is_published)"
+_KW = r"kw AS (SELECT DISTINCT article_id, lower(trim(regexp_replace(u.k, '[ \t\x{00a0}]+', ' ', 'g'), ' ')) AS k FROM article, unnest(keywords) AS u(k))"
+_KEY = "trim(regexp_replace(regexp_replace(replace(replace(replace(lower(trim(regexp_replace(coalesce({c}, ''), '[\\s\\x{{a0}}]+', ' ', 'g'))), 'ё', 'е'), 'г.', ''), 'город ', ''), '[^a-zа-я0-9 -]+', ' ', 'g'), ' +', ' ', 'g'))"
+_CITY, _NORM = _KEY.format(c="city"), _KEY.format(c="normalized_name")
+GEO = A + f""", placed AS (SELECT affiliation_id, c.* EXCLUDE (latitude, longitude) FROM (SELECT affiliation_id, {_CITY} AS key FROM affiliation) a JOIN (SELECT *, {_NORM} AS ckey FROM city_location) c ON a.key = c.ckey WHERE a.key <> ''),
+  base AS (SELECT l.article_id, l.author_id, l.affiliation_id, p.city_location_id, p.display_name, p.country, u.year, u.title FROM article_author l JOIN placed p USING (affiliation_id) JOIN pub u USING (article_id)),
+  cit AS (SELECT city_location_id, display_name, country, count(DISTINCT article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors, count(DISTINCT affiliation_id)::BIGINT AS affiliations FROM base GROUP BY ALL)"""
+_TOTAL = "SELECT count(DISTINCT article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors, count(DISTINCT affiliation_id)::BIGINT AS affiliations, count(DISTINCT city_location_id)::BIGINT AS cities, count(DISTINCT country)::BIGINT AS countries FROM base"
+_SUB = A + ", mem AS (SELECT article_id % 7 AS subcorpus_id, article_id, CASE WHEN is_published THEN 'filter' ELSE 'manual' END AS source FROM article WHERE year >= 2018)"
+_LOG = "log AS (SELECT DISTINCT ON (activity_id) * FROM user_activity)"
+_MARK = f"WITH {_LOG}, mark AS (SELECT activity_id AS mark_id, user_id, activity_id % 50 + 1 AS article_id, ((activity_id * 37) % 900)::INT AS char_start, ((activity_id * 37) % 900 + 10 + activity_id % 60)::INT AS char_end, updated_at FROM log)"
+_OVER = "SELECT m.mark_id, w.mark_id AS wanted_id FROM mark m JOIN mark w ON m.user_id = w.user_id AND m.article_id = w.article_id AND m.char_start < w.char_end AND m.char_end > w.char_start WHERE m.mark_id % 2 = 0 AND w.mark_id % 2 = 1"
+_HIST = "CASE WHEN articles >= 100 THEN '100+' WHEN articles >= 25 THEN '25–99' WHEN articles >= 10 THEN '10–24' WHEN articles >= 5 THEN '5–9' WHEN articles >= 2 THEN '2–4' ELSE '1' END"
+_NAME = "CASE WHEN trim(coalesce(l.display_name, '')) <> '' THEN l.display_name ELSE concat_ws(' ', nullif(last_name, ''), nullif(first_name, ''), nullif(middle_name, '')) END"
+
+SQL = {
+    "flt1_composite_filter": A + f", {_KW} SELECT article_id, year, title FROM pub WHERE year BETWEEN 2005 AND 2023 AND language = 'ru' AND article_id IN (SELECT article_id FROM kw WHERE contains(k, 'рынок'))",
+    "flt1_by_author": A + " SELECT article_id FROM pub WHERE article_id IN (SELECT article_id FROM article_author WHERE author_id = 4)",
+    "src2_published": A + " SELECT article_id, slug, year FROM pub",
+    "flt15_issue_visibility": A + " SELECT year, count(*)::BIGINT AS all_articles, count_if(is_published)::BIGINT AS published_articles FROM article GROUP BY 1",
+    "ts6_metadata_results": A + " SELECT article_id, year, title, 0 AS hit_count FROM pub",
+    "l2_catalogue_page": A + " SELECT article_id, year, title, 0 AS hit_count FROM pub ORDER BY year DESC, title, article_id LIMIT 20 OFFSET 40",
+    "j1_issue_join": A + ", i AS (SELECT year, volume, number, min(issue_title) AS issue FROM article WHERE issue_title IS NOT NULL GROUP BY ALL) SELECT article_id, coalesce(issue, '') AS issue, coalesce(section, '') AS section FROM article LEFT JOIN i USING (year, volume, number)",
+    "j2_author_lines": f"SELECT l.article_id, string_agg({_NAME}, ', ' ORDER BY author_order, author_id) AS author_line FROM article_author l JOIN author a USING (author_id) GROUP BY 1",
+    "j12_related": A + ", r AS (SELECT a.article_id, b.article_id AS related_id, row_number() OVER (PARTITION BY a.article_id ORDER BY b.year DESC, b.title, b.article_id)::INT AS place FROM pub a JOIN pub b ON a.section IS NOT DISTINCT FROM b.section AND a.article_id <> b.article_id) SELECT * FROM r WHERE place <= 4",
+    "flt17_suggest_titles": A + ", v AS (SELECT DISTINCT title AS value FROM pub WHERE contains(lower(title), 'region')) SELECT value FROM v ORDER BY CASE WHEN regexp_matches(value, '^[\\s]*[\\x{0400}-\\x{052f}]') THEN 0 WHEN regexp_matches(value, '^[\\s]*[A-Za-z]') THEN 1 ELSE 2 END, lower(value), value LIMIT 20",
+    "flt17_suggest_volumes": A + " SELECT DISTINCT volume AS value FROM article WHERE contains(volume, '1')",
+    "flt13_city_filter": "SELECT city_location_id, display_name FROM city_location WHERE contains(normalized_name, 'пижев') ORDER BY CASE WHEN normalized_name = 'пижев' THEN 0 WHEN lower(display_name) = 'г. пижев' THEN 1 ELSE 2 END, display_name, city_location_id LIMIT 1",
+    "ts9_recent_searches": f"WITH {_LOG} SELECT activity_id, title FROM log WHERE user_id = 128 AND activity_type = 'search' ORDER BY created_at DESC, activity_id DESC LIMIT 6",
+    "l11_choices": A + " SELECT article_id, year, volume, title FROM pub ORDER BY year DESC, volume DESC NULLS FIRST, title, article_id LIMIT 50",
+    "l6_title_order": A + ", r AS (SELECT article_id, title, CASE WHEN regexp_matches(coalesce(title, ''), '^[\\s]*[\\x{0400}-\\x{052f}]') THEN 0 WHEN regexp_matches(coalesce(title, ''), '^[\\s]*[A-Za-z]') THEN 1 ELSE 2 END AS rank FROM pub) SELECT article_id, rank, (row_number() OVER (ORDER BY rank, lower(title), title, article_id))::INT AS place FROM r ORDER BY place LIMIT 100",
+    "agg7_per_year": A + " SELECT year, count(*)::BIGINT AS articles FROM pub GROUP BY 1",
+    "agg8_top_authors": A + " SELECT author_id, last_name, articles FROM (SELECT author_id, count(DISTINCT article_id)::BIGINT AS articles FROM article_author WHERE article_id IN (SELECT article_id FROM pub) GROUP BY 1) JOIN author USING (author_id) ORDER BY articles DESC, last_name, first_name NULLS FIRST, middle_name NULLS FIRST, author_id LIMIT 10",
+    "agg9_corpus_stats": A + f", {TEXT} SELECT (SELECT count(DISTINCT (year, coalesce(volume, ''), coalesce(number, '')))::BIGINT FROM pub) AS issues, (SELECT count(*)::BIGINT FROM pub) AS articles, (SELECT count(DISTINCT author_id)::BIGINT FROM article_author WHERE article_id IN (SELECT article_id FROM pub)) AS authors, (SELECT coalesce(sum(length(coalesce(body_text, ''))), 0)::BIGINT FROM txt WHERE article_id IN (SELECT article_id FROM pub)) AS characters",
+    "agg10_issue_counts": A + ", n AS (SELECT year, coalesce(volume, '') AS volume, coalesce(number, '') AS number, article_id FROM article) SELECT year, volume, number, count(DISTINCT n.article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors, concat_ws(' ', year::VARCHAR, CASE WHEN volume <> '' THEN 'Т. ' || volume END, CASE WHEN number <> '' THEN '№ ' || number END) AS label FROM n LEFT JOIN article_author l ON n.article_id = l.article_id GROUP BY ALL",
+    "agg12_city_rollup": GEO + " SELECT city_location_id, display_name, articles, authors, affiliations FROM cit",
+    "agg13_country_rollup": GEO + " SELECT country, count(DISTINCT city_location_id)::BIGINT AS cities, count(DISTINCT author_id)::BIGINT AS authors, count(DISTINCT article_id)::BIGINT AS articles FROM base GROUP BY 1",
+    "agg14_activity_histogram": GEO + f", b(label) AS (VALUES ('1'), ('2–4'), ('5–9'), ('10–24'), ('25–99'), ('100+')), h AS (SELECT {_HIST} AS label, count(*)::BIGINT AS cities, sum(articles)::BIGINT AS articles FROM cit GROUP BY 1) SELECT label, coalesce(cities, 0)::BIGINT AS cities, coalesce(articles, 0)::BIGINT AS articles FROM b LEFT JOIN h USING (label)",
+    "agg15_geo_articles": GEO + " SELECT article_id, year, count(DISTINCT author_id)::BIGINT AS authors FROM base GROUP BY ALL",
+    "agg16_city_timeline": GEO + " SELECT year, count(DISTINCT article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors FROM base WHERE city_location_id = 101 GROUP BY 1",
+    "agg17_city_totals": GEO + f" {_TOTAL} WHERE city_location_id = 101",
+    "agg18_geo_totals": GEO + f" {_TOTAL}",
+    "agg18_top_city": GEO + " SELECT city_location_id, articles FROM cit ORDER BY articles DESC, authors DESC, display_name, city_location_id LIMIT 1",
+    "agg19_empty_cities": GEO + " SELECT c.city_location_id, c.display_name, c.country, coalesce(articles, 0)::BIGINT AS articles, coalesce(authors, 0)::BIGINT AS authors FROM city_location c LEFT JOIN cit USING (city_location_id)",
+    "j8_resolved_affiliations": f"WITH a AS (SELECT affiliation_id, {_CITY} AS key FROM affiliation), m AS (SELECT affiliation_id, c.city_location_id, c.display_name, row_number() OVER (PARTITION BY affiliation_id ORDER BY length(ckey) DESC, city_location_id) AS o FROM a JOIN (SELECT *, {_NORM} AS ckey FROM city_location) c ON contains(' ' || key || ' ', ' ' || ckey || ' ')) SELECT a.affiliation_id, m.city_location_id::INT AS seed, m.display_name FROM a LEFT JOIN m ON a.affiliation_id = m.affiliation_id AND o = 1",
+    "m12_refresh_geography": f"""WITH c AS (SELECT *, {_NORM} AS ckey FROM city_location),
+      a AS (SELECT affiliation_id, {_CITY} AS k1, {_KEY.format(c="concat_ws(' ', coalesce(city, ''), coalesce(country, ''), coalesce(name, ''))")} AS k2 FROM affiliation),
+      m1 AS (SELECT affiliation_id, display_name, row_number() OVER (PARTITION BY affiliation_id ORDER BY length(ckey) DESC, city_location_id) AS o FROM a JOIN c ON contains(' ' || k1 || ' ', ' ' || ckey || ' ')),
+      m2 AS (SELECT affiliation_id, display_name, row_number() OVER (PARTITION BY affiliation_id ORDER BY length(ckey) DESC, city_location_id) AS o FROM a JOIN c ON contains(' ' || k2 || ' ', ' ' || ckey || ' '))
+      SELECT a.affiliation_id, coalesce(m1.display_name, m2.display_name) AS city_name, CASE WHEN coalesce(m1.display_name, m2.display_name) IS NULL THEN 'unresolved' ELSE 'gazetteer' END AS geography_source, (CASE WHEN m1.display_name IS NOT NULL THEN 0.95 WHEN m2.display_name IS NOT NULL THEN 0.82 ELSE 0.0 END)::DOUBLE AS geography_confidence
+      FROM a LEFT JOIN m1 ON a.affiliation_id = m1.affiliation_id AND m1.o = 1 LEFT JOIN m2 ON a.affiliation_id = m2.affiliation_id AND m2.o = 1""",
+    "scl33_markers": GEO + " SELECT city_location_id, CASE WHEN articles >= 100 THEN 5 WHEN articles >= 25 THEN 4 WHEN articles >= 10 THEN 3 WHEN articles >= 5 THEN 2 WHEN articles >= 2 THEN 1 ELSE 0 END AS level, CASE WHEN lower(country) = 'россия' THEN 'circle' ELSE 'diamond' END AS marker FROM cit",
+    "agg26_logins_by_quarter_hour": "SELECT (epoch(ts)::BIGINT // 900 * 900)::BIGINT AS start_s, user_id, count(*)::BIGINT AS events FROM events GROUP BY 1, 2",
+    "set1_scope_union": A + " SELECT article_id FROM pub WHERE year = 2020 UNION SELECT article_id FROM pub WHERE language = 'en'",
+    "set3_membership_refresh": _SUB + " SELECT * FROM mem WHERE source = 'manual' UNION ALL SELECT article_id % 7, article_id, 'filter' FROM article WHERE year >= 2020 AND article_id NOT IN (SELECT article_id FROM mem WHERE source = 'manual')",
+    "agg20_subcorpus_totals": _SUB + f", {TEXT} SELECT subcorpus_id, count(*)::BIGINT AS articles, coalesce(sum(length(coalesce(body_text, ''))), 0)::BIGINT AS tokens FROM mem LEFT JOIN txt USING (article_id) GROUP BY 1",
+    "flt11_candidates": _SUB + " SELECT article_id, year FROM pub WHERE article_id NOT IN (SELECT article_id FROM mem WHERE subcorpus_id = 3)",
+    "l10_members": _SUB + " SELECT subcorpus_id, article_id, source FROM mem",
+    "m13_add_remove": _SUB + ", ext AS (SELECT 1::BIGINT AS subcorpus_id, article_id FROM article WHERE year = 2005), al AS (SELECT * FROM mem UNION ALL SELECT subcorpus_id, article_id, 'manual' FROM ext WHERE (subcorpus_id, article_id) NOT IN (SELECT (subcorpus_id, article_id) FROM mem)) SELECT * FROM al WHERE (subcorpus_id, article_id) NOT IN (SELECT (article_id % 7, article_id) FROM article WHERE year = 2021)",
+    "j9_overlapping_marks": f"{_MARK} {_OVER}",
+    "w9_grouped_marks": _MARK + " SELECT mark_id, user_id, article_id, (row_number() OVER (PARTITION BY user_id, article_id ORDER BY updated_at DESC, mark_id DESC))::INT AS place FROM mark",
+    "agg21_mark_counts": _MARK + " SELECT user_id, count(*)::BIGINT AS marks, count(DISTINCT article_id)::BIGINT AS articles FROM mark GROUP BY 1",
+    "m5_newest_records": A + " SELECT article_id, record_id FROM article",
+    "m4_upsert": A + " SELECT r.article_id, CASE WHEN a.year >= 2015 THEN a.record_id ELSE r.record_id END AS record_id FROM (SELECT article_id, min(record_id) AS record_id FROM article_metadata GROUP BY 1) r JOIN article a USING (article_id)",
+    "m6_match_uploads": A + ", d AS (SELECT doi, min(article_id) AS d FROM article WHERE coalesce(doi, '') <> '' GROUP BY 1), t AS (SELECT title, year, volume, number, min(article_id) AS t FROM article GROUP BY ALL) SELECT record_id AS upload_id, coalesce(d, t) AS article_id FROM article_metadata m LEFT JOIN d USING (doi) LEFT JOIN t USING (title, year, volume, number)",
+    "m7_keywords": f"WITH {TEXT} SELECT DISTINCT article_id, lower(regexp_replace(u.k, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')) AS normalized FROM txt, unnest(string_split(coalesce(keywords_text, ''), ',')) AS u(k) WHERE regexp_replace(u.k, '[\\s\\x{{a0}}]+', '', 'g') <> ''",
+    "m8_orphans": "SELECT 'author' AS kind, author_id::VARCHAR AS id FROM author WHERE author_id NOT IN (SELECT author_id FROM article_author) UNION ALL SELECT 'affiliation', affiliation_id::VARCHAR FROM affiliation WHERE affiliation_id NOT IN (SELECT affiliation_id FROM article_author WHERE affiliation_id IS NOT NULL)",
+    "m10_unseen": "SELECT slug, record_id FROM article_metadata WHERE slug NOT IN (SELECT slug FROM article_metadata WHERE year < 2020)",
+    "w11_author_order": A + " SELECT article_id, i::INT AS author_order, coalesce(authors[i].last_name, '') AS last_name FROM (SELECT article_id, authors, unnest(generate_series(1, len(authors))) AS i FROM article)",
+    "w10_first_seen": "SELECT user_id, activity_type, min(activity_id) AS activity_id FROM user_activity GROUP BY ALL",
+    "m23_activity": f"WITH {_LOG} SELECT activity_type, count(*)::BIGINT AS rows, count(DISTINCT user_id)::BIGINT AS users FROM log GROUP BY 1",
+    "scl25_labels": A + " SELECT 'city' AS kind, city_location_id AS id, concat_ws(', ', nullif(display_name, ''), CASE WHEN coalesce(region, '') NOT IN ('', display_name) THEN region END, nullif(country, '')) AS label FROM city_location UNION ALL SELECT 'author', author_id, concat_ws(' ', nullif(last_name, ''), nullif(first_name, ''), nullif(middle_name, '')) FROM author UNION ALL SELECT 'issue', article_id, concat_ws(' ', year::VARCHAR, CASE WHEN coalesce(volume, '') <> '' THEN 'Т. ' || volume END, CASE WHEN coalesce(number, '') <> '' THEN '№ ' || number END) FROM article",
+    "scl21_city_keys": f"SELECT affiliation_id, {_CITY} AS city_key FROM affiliation",
+    "scl20_file_kinds": A + " SELECT CASE lower(regexp_extract(coalesce(source_file, ''), '\\.([A-Za-z0-9]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'doc' THEN 'docx' WHEN 'docx' THEN 'docx' WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'txt' ELSE 'other' END AS kind, count(*)::BIGINT AS files FROM article GROUP BY 1",
+    "scl30_dates": "SELECT record_id, year::VARCHAR || '-11-03' AS day FROM article_metadata",
+    "src16_files": A + " SELECT article_id, coalesce(nullif(source_file, ''), nullif(text_file, ''), nullif(original_url, '')) AS place FROM article",
+    "src8_article_numbers": A + " SELECT article_id, regexp_extract(coalesce(original_url, ''), '/article/view/(\\d+)', 1) AS number FROM article",
+    "star_year_rollup": "SELECT year(o_orderdate)::BIGINT AS year, count(*)::BIGINT AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    "star_supplier_rollup": "SELECT n_name, count(DISTINCT l_orderkey)::BIGINT AS orders, count(DISTINCT l_suppkey)::BIGINT AS suppliers, count(DISTINCT l_partkey)::BIGINT AS parts FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1",
+    "star_order_lines": "SELECT l_orderkey, string_agg(l_suppkey::VARCHAR, ', ' ORDER BY l_linenumber, l_suppkey) AS suppliers FROM lineitem WHERE l_shipdate >= '1996-01-01' GROUP BY 1",
+}
