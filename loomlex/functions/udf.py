@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomlex.functions.cleaning import clean_body, cut_chunks
+# The worker imports what these call, so that must not define UDFs itself.
+from loomlex.functions.cleaning import clean_body, cut_chunks, decode_upload, repair_cp1251, slugify
 
 
 @F.pandas_udf("string")
@@ -24,41 +21,16 @@ def chunks_udf(text: pd.Series) -> pd.Series:
     return pd.Series([[{"text": t, "start": a, "end": b} for t, a, b in cut_chunks(x)] for x in text])
 
 
-def repair_cp1251(value: str | None) -> str | None:
-    """Text whose UTF-8 bytes were read as Windows-1251; unchanged when that can't be (SCL22)."""
-    try:
-        return value.encode("cp1251").decode("utf-8") if value else value
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return value
-
-
 @F.pandas_udf("string")
 def repair_cp1251_udf(value: pd.Series) -> pd.Series:
     return value.map(repair_cp1251)
 
 
-def decode_upload(data: bytes | None) -> str:
-    """Uploaded text: UTF-8 with or without a mark, else Windows-1251, else with replacements (SRC11)."""
-    for encoding in ("utf-8-sig", "cp1251"):
-        try:
-            return (data or b"").decode(encoding)
-        except UnicodeDecodeError:
-            continue
-    return data.decode("utf-8", "replace")
-
-
 @F.pandas_udf("string")
 def decode_upload_udf(data: pd.Series) -> pd.Series:
     return data.map(decode_upload)
 
 
-def slugify(value: str | None, most: int = 220) -> str:
-    """ASCII-less slug: letters, digits and hyphens in NFKC, small; a hash when nothing is left (SCL19)."""
-    text = unicodedata.normalize("NFKC", value or "").lower()
-    slug = re.sub(r"[-\s]+", "-", re.sub(r"[^\w\s-]", "", text)).strip("-_")[:most]
-    return slug or hashlib.sha1((value or "").encode()).hexdigest()[:10]
-
-
 @F.pandas_udf("string")
 def slug_udf(value: pd.Series) -> pd.Series:
     return value.map(slugify)

@@ -437,7 +437,7 @@ SQL = {
       SELECT a.affiliation_id, coalesce(m1.display_name, m2.display_name) AS city_name, CASE WHEN coalesce(m1.display_name, m2.display_name) IS NULL THEN 'unresolved' ELSE 'gazetteer' END AS geography_source, (CASE WHEN m1.display_name IS NOT NULL THEN 0.95 WHEN m2.display_name IS NOT NULL THEN 0.82 ELSE 0.0 END)::DOUBLE AS geography_confidence
       FROM a LEFT JOIN m1 ON a.affiliation_id = m1.affiliation_id AND m1.o = 1 LEFT JOIN m2 ON a.affiliation_id = m2.affiliation_id AND m2.o = 1""",
     "scl33_markers": GEO + " SELECT city_location_id, CASE WHEN articles >= 100 THEN 5 WHEN articles >= 25 THEN 4 WHEN articles >= 10 THEN 3 WHEN articles >= 5 THEN 2 WHEN articles >= 2 THEN 1 ELSE 0 END AS level, CASE WHEN lower(country) = 'россия' THEN 'circle' ELSE 'diamond' END AS marker FROM cit",
-    "agg26_logins_by_quarter_hour": "SELECT (epoch(ts)::BIGINT // 900 * 900)::BIGINT AS start_s, user_id, count(*)::BIGINT AS events FROM events GROUP BY 1, 2",
+    "agg26_logins_by_quarter_hour": "SELECT (floor(epoch(ts) / 900) * 900)::BIGINT AS start_s, user_id, count(*)::BIGINT AS events FROM events GROUP BY 1, 2",
     "set1_scope_union": A + " SELECT article_id FROM pub WHERE year = 2020 UNION SELECT article_id FROM pub WHERE language = 'en'",
     "set3_membership_refresh": _SUB + " SELECT * FROM mem WHERE source = 'manual' UNION ALL SELECT article_id % 7, article_id, 'filter' FROM article WHERE year >= 2020 AND article_id NOT IN (SELECT article_id FROM mem WHERE source = 'manual')",
     "agg20_subcorpus_totals": _SUB + f", {TEXT} SELECT subcorpus_id, count(*)::BIGINT AS articles, coalesce(sum(length(coalesce(body_text, ''))), 0)::BIGINT AS tokens FROM mem LEFT JOIN txt USING (article_id) GROUP BY 1",
