@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlex.functions import text as T
-from loomlex.session import table
+from loomlex.session import spread, table
 
 
 def newest(df: DataFrame, key: str, by: str, tie: str) -> DataFrame:
@@ -32,7 +32,8 @@ def published(spark: SparkSession, d: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Newest text of every article."""
-    return newest(table(spark, d, "article_text"), "article_id", "updated_at", "text_id")
+    raw = table(spark, d, "article_text")
+    return spread(newest(raw, "article_id", "updated_at", "text_id"), raw)
 
 
 def keyword_links(records: DataFrame) -> DataFrame:

@@ -99,6 +99,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._loomlex_shipped = True
 
 
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """``df`` over all cores when the files of ``source`` give fewer partitions than there are cores.
+
+    A small file is one partition, however much work its texts make, and partitions of few bytes
+    are put together after a shuffle; a repartition to a number is kept.  A table that fills the
+    cluster by itself is left as it is, so this never shuffles much.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (source or df).rdd.getNumPartitions() < cores else df
+
+
 def blank(c: Column) -> Column:
     """NULL, or nothing but Unicode white space."""
     return F.coalesce(F.regexp_replace(c, r"(?U)\s+", "") == "", F.lit(True))
