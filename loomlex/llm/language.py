@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlex.llm.mojibake import CHAINS, undo
-from loomlex.session import blank, ship_package, table
+from loomlex.session import blank, ship_package, spread, table
 
 LANGUAGES = ("ru", "en", "uk", "de", "fr")
 L = len(LANGUAGES)
@@ -248,7 +248,7 @@ def _segments_frame(spark: SparkSession, d: str) -> DataFrame:
             cols = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
 
-    return src.mapInArrow(run, "text_id bigint, article_id bigint, start bigint, end bigint, lang string, confidence double, sentences int")
+    return spread(src).mapInArrow(run, "text_id bigint, article_id bigint, start bigint, end bigint, lang string, confidence double, sentences int")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

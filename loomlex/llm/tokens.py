@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomlex.session import ship_package
+from loomlex.session import ship_package, spread
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -67,7 +67,7 @@ def token_sizes(docs: DataFrame, keep: list[str], text: str = "text", folder: st
     A narrow stage: only ``keep`` and the text are read, the text doesn't leave the task.
     """
     ship_package(docs.sparkSession)
-    src = docs.select(*keep, docs[text].alias("__text"))
+    src = spread(docs.select(*keep, docs[text].alias("__text")))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(folder, vocabulary).count
