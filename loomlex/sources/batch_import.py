@@ -76,7 +76,7 @@ def page_udf():
     @F.pandas_udf("struct<meta:map<string,array<string>>,links:array<string>,headings:array<string>>")
     def parse(html: pd.Series) -> pd.DataFrame:
         rows = [read_page(h) for h in html]
-        return pd.DataFrame({"meta": [list(r["meta"].items()) for r in rows], "links": [r["links"] for r in rows], "headings": [r["headings"] for r in rows]})
+        return pd.DataFrame({"meta": [r["meta"] for r in rows], "links": [r["links"] for r in rows], "headings": [r["headings"] for r in rows]})
 
     return parse
 
