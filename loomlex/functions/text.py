@@ -18,8 +18,8 @@ STOP_LABELS = (
     "ключевой дата обращение ссылка автор что это"
 ).split()
 STOP_PREFIXES = ("10.", "doi", "edn", "issn", "http", "www", "fig", "table")
-#: Marks around a hit, and the tags they become.
-MARK_START, MARK_END = "[[SEM_HIGHLIGHT_START]]", "[[SEM_HIGHLIGHT_END]]"
+#: Marks around a hit, and the tags they become.
+MARK_START, MARK_END = "[[HIT_START]]", "[[HIT_END]]"
 
 _LETTER = "A-Za-z\\u0400-\\u052f"
 
