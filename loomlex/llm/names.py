@@ -29,6 +29,8 @@ from loomlex.session import ship_package, stage_table, table
 
 #: Given names taken from the data, at most, and the surnames one must stand with.
 GIVEN_MOST, GIVEN_SURNAMES = 5_000, 4
+#: A name with less than one row to so many of a name one edit away is a misspelling of that one.
+GIVEN_RATIO = 8
 
 #: Look-alike Latin letters in words with Cyrillic ones.
 _LOOKS = str.maketrans("aceopxyktmhbi", "асеорхуктмнви")
@@ -201,17 +203,35 @@ def _map(df: DataFrame, schema: str, fn) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def without_misspelt(rows: dict[str, int]) -> frozenset[str]:
+    """The names that aren't rare beside a name one edit away, by their rows; listed names stay."""
+    index: dict[tuple[int, int, str], list[str]] = {}
+    for g in rows:
+        for i, t in segments(g):
+            index.setdefault((len(g), i, t), []).append(g)
+
+    def rare(g: str) -> bool:
+        return any(rows[o] > GIVEN_RATIO * rows[g] and near(g, o) for p in probes(g) for o in index.get(p, ()))
+
+    return frozenset(g for g in rows if g in FULL_OF or not rare(g))
+
+
 def given_lexicon(authors: DataFrame) -> frozenset[str]:
-    """First names that stand with several surnames, by the codes of plainly filled fields."""
+    """First names that stand with several surnames, by the codes of plainly filled fields.
+
+    With the rows of a table the surnames of a misspelt name grow as well, so names are held against
+    their neighbours' rows, a ratio that stays the same.
+    """
 
     def plain(r):
-        last, first = words_of(r[0]), words_of(r[1])
+        last, first = words_of(r[1]), words_of(r[2])
         if len(last) == 1 and len(first) == 1 and len(first[0]) > 2 and len(last[0]) > 2:
             yield first[0], last[0]
 
-    pairs = _map(authors.select("last_name", "first_name"), "given string, surname string", plain).distinct()
-    top = pairs.groupBy("given").count().where(F.col("count") >= GIVEN_SURNAMES).orderBy(F.desc("count"), "given").limit(GIVEN_MOST)
-    return frozenset(r["given"] for r in top.collect())
+    rows = _map(authors.select("author_id", "last_name", "first_name").distinct(), "given string, surname string", plain).groupBy("given", "surname").agg(F.count(F.lit(1)).alias("n"))
+    by_name = rows.groupBy("given").agg(F.count(F.lit(1)).alias("surnames"), F.sum("n").alias("n"))
+    top = by_name.where(F.col("surnames") >= GIVEN_SURNAMES).orderBy(F.desc("surnames"), "given").limit(GIVEN_MOST)
+    return without_misspelt({r["given"]: r["n"] for r in top.collect()})
 
 
 def segments(surname: str) -> list[tuple[int, str]]:

@@ -174,6 +174,18 @@ def test_readings_agree():
     assert read(None, None, None) == ("", "", "") and read(" . ", "", "")[0] == ""
 
 
+def test_misspelt_given_names_are_no_names_of_their_own(spark):
+    rng = random.Random(4)
+    surnames = ["".join(rng.choice("бвгдклмнрст") + rng.choice("аеиоу") for _ in range(5)) + "н" for _ in range(90)]
+    rows = [(s, first, "") for first, n in (("Марина", 90), ("Алла", 70), ("Элла", 60), ("Морина", 6), ("Мрина", 4), ("Аллла", 5)) for s in rng.sample(surnames, n)]
+    rows += [("Петренко", "Марина", "Юрьевна"), ("Петренко", "Морина", "Юрьевна"), ("Громова", "Алла", "Юрьевна"), ("Громова", "Элла", "Юрьевна")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "author_id long, last_name string, first_name string, middle_name string")
+    assert names.given_lexicon(df) == frozenset(map(names.code, ("Марина", "Алла", "Элла")))
+    of = {r["author_id"]: r["person"] for r in names.persons(df).where(F.col("author_id") >= len(rows) - 4).collect()}
+    marina, morina, alla, ella = (of[len(rows) - i] for i in (4, 3, 2, 1))
+    assert marina == morina and alla != ella
+
+
 def test_segment_join_misses_no_pair(spark):
     rng = random.Random(8)
     words = {"".join(rng.choice("абвгд") for _ in range(rng.randrange(4, 9))) for _ in range(300)}
