@@ -258,6 +258,30 @@ def test_scanned_page():
     assert scans.clean_text("Обычный текст.", "", editor, frozenset()) is None
 
 
+def page(head, foot="- 12 -"):
+    return ["региональный рынок определяет границы социаль-", "ной политики и занятости населения страны, а", foot, head, "также региональный рынок определяет границы со-", "циальной политики и занятости населения."]
+
+
+def test_marks_in_headers_are_penalties_only():
+    kind = lambda head, title="", headers=frozenset(): scans.classify(page(head), title, headers)[1][3]
+    assert kind("КЛАРИЧИНИН Ю. А.") == kind("VLOBIBULUK A.") == kind("ИВАНОВ А. Б., СИДОРОВА В.") == scans.HEADER
+    title = "2. Региональный рынок и границы"
+    assert kind(title, title) == kind("региональный рынок и границы", title[3:]) == kind("Региональный рынок и границы.", title[3:]) == scans.HEADER
+    assert kind("Вестник | ISSN 1234-5678") == scans.HEADER
+    assert scans.HEADER not in map(kind, ("занятость населения", "1) занятость населения", "Это сказал Иванов И. И."))
+    broken = ["региональный рынок определяет границы социаль-", "ной политики и занятости населения страны, а", "КЛАРИЧИНИН Ю. А.", "также региональный рынок определяет границы со-", "циальной политики и занятости населения."]
+    assert scans.classify(broken, "")[1][2] == scans.HEADER
+    ended = [*broken[:1], "ной политики и занятости населения страны.", "- 12 -", "КЛАРИЧИНИН Ю. А.", "Также региональный рынок определяет границы со-", broken[-1]]
+    assert scans.classify(ended, "")[1][3] == scans.HEADER
+
+
+def test_survey_counts_headers_with_end_marks(spark):
+    rows = [(i, "", "\n".join(page("Вестник экономики."))) for i in range(5)]
+    headers = scans._survey(spark.createDataFrame(rows, "text_id long, title_text string, body string"))[2]
+    assert "вестникэкономики" in headers
+    assert scans.classify(page("Вестник экономики."), "", headers)[1][3] == scans.HEADER
+
+
 # ---------------------------------------------------------------- spam
 
 
