@@ -159,6 +159,19 @@ def test_labels(spark):
     assert [r[0] for r in df.select(language.label_of(F.col("l"))).collect()] == ["ru", "en-ru", "en-ru", None, None, None, None, None, None]
 
 
+def test_mild_damage_is_tried_against_every_chain():
+    class Model:
+        words = frozenset({"für", "beschäftigung", "marché"})
+
+        def log(self, token):
+            return (-1.5 if token.lower() in self.words else -2.8) * (len(token) + 1)
+
+    explain = mojibake.Explainer(Model())
+    chain = mojibake.CHAINS.index((("cp1251", "cp1252"),))
+    for w in ("für", "Beschäftigung", "marché"):
+        assert (chain, w) in [(c, fixed) for _, c, fixed in explain[mojibake.damage(chain, w)]]
+
+
 # ---------------------------------------------------------------- names
 
 
