@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loomlex.functions import text as T
 from loomlex.functions.udf import repair_cp1251_udf, slug_udf
-from loomlex.operators import analytics, catalog, geo, maintenance, search, subcorpus
-from loomlex.plans.corpus_queries import ARTICLE, TEXT
+from loomlex.operators import analytics, catalog, geo, index, maintenance, search, subcorpus
+from loomlex.plans.corpus_queries import ARTICLE, BASE, TEXT
 from loomlex.session import table
 from loomlex.sinks import exports
 
@@ -109,6 +109,10 @@ def agg9_corpus_stats(spark, d):
     return analytics.corpus_stats(catalog.articles(spark, d), _links(spark, d), sizes).withColumnRenamed("tokens", "characters")
 
 
+def agg9_corpus_tokens(spark, d):
+    return analytics.corpus_stats(catalog.articles(spark, d), _links(spark, d), index.text_sizes(catalog.texts(spark, d)))
+
+
 def agg10_issue_counts(spark, d):
     return analytics.issue_counts(catalog.articles(spark, d), _links(spark, d))
 
@@ -197,6 +201,10 @@ def agg20_subcorpus_totals(spark, d):
     return subcorpus.totals(_members(spark, d), sizes)
 
 
+def agg20_subcorpus_tokens(spark, d):
+    return subcorpus.totals(_members(spark, d), index.text_sizes(catalog.texts(spark, d)))
+
+
 def flt11_candidates(spark, d):
     return subcorpus.candidates(catalog.published(spark, d), _members(spark, d), 3).select("article_id", "year")
 
@@ -378,9 +386,9 @@ def star_order_lines(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     flt1_composite_filter, flt1_by_author, src2_published, flt15_issue_visibility, ts6_metadata_results, l2_catalogue_page, j1_issue_join, j2_author_lines, j12_related, flt17_suggest_titles, flt17_suggest_volumes,
-    flt13_city_filter, ts9_recent_searches, l11_choices, l6_title_order, agg7_per_year, agg8_top_authors, agg9_corpus_stats, agg10_issue_counts, agg12_city_rollup, agg13_country_rollup, agg14_activity_histogram,
+    flt13_city_filter, ts9_recent_searches, l11_choices, l6_title_order, agg7_per_year, agg8_top_authors, agg9_corpus_stats, agg9_corpus_tokens, agg10_issue_counts, agg12_city_rollup, agg13_country_rollup, agg14_activity_histogram,
     agg15_geo_articles, agg16_city_timeline, agg17_city_totals, agg18_geo_totals, agg18_top_city, agg19_empty_cities, j8_resolved_affiliations, m12_refresh_geography, scl33_markers, agg26_logins_by_quarter_hour,
-    set1_scope_union, set3_membership_refresh, agg20_subcorpus_totals, flt11_candidates, l10_members, m13_add_remove, j9_overlapping_marks, m16_new_marks, w9_grouped_marks, agg21_mark_counts, m5_newest_records,
+    set1_scope_union, set3_membership_refresh, agg20_subcorpus_totals, agg20_subcorpus_tokens, flt11_candidates, l10_members, m13_add_remove, j9_overlapping_marks, m16_new_marks, w9_grouped_marks, agg21_mark_counts, m5_newest_records,
     m4_upsert, m6_match_uploads, m7_keywords, m8_orphans, m10_unseen, w11_author_order, w12_unique_slugs, w10_first_seen, m23_activity, scl25_labels, scl21_city_keys, scl36_payloads, scl27_query_strings,
     scl20_file_kinds, scl30_dates, scl18_split_names, scl22_mojibake, scl19_slugs, scl34_signature, src16_files, src8_article_numbers, snk4_json_page, star_year_rollup, star_supplier_rollup, star_order_lines,
 )}
@@ -394,6 +402,7 @@ GEO = A + f""", placed AS (SELECT affiliation_id, c.* EXCLUDE (latitude, longitu
   cit AS (SELECT city_location_id, display_name, country, count(DISTINCT article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors, count(DISTINCT affiliation_id)::BIGINT AS affiliations FROM base GROUP BY ALL)"""
 _TOTAL = "SELECT count(DISTINCT article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors, count(DISTINCT affiliation_id)::BIGINT AS affiliations, count(DISTINCT city_location_id)::BIGINT AS cities, count(DISTINCT country)::BIGINT AS countries FROM base"
 _SUB = A + ", mem AS (SELECT article_id % 7 AS subcorpus_id, article_id, CASE WHEN is_published THEN 'filter' ELSE 'manual' END AS source FROM article WHERE year >= 2018)"
+_SIZE = "n AS (SELECT article_id, count(*)::BIGINT AS n FROM tok GROUP BY 1)"
 _LOG = "log AS (SELECT DISTINCT ON (activity_id) * FROM user_activity)"
 _MARK = f"WITH {_LOG}, mark AS (SELECT activity_id AS mark_id, user_id, activity_id % 50 + 1 AS article_id, ((activity_id * 37) % 900)::INT AS char_start, ((activity_id * 37) % 900 + 10 + activity_id % 60)::INT AS char_end, updated_at FROM log)"
 _OVER = "SELECT m.mark_id, w.mark_id AS wanted_id FROM mark m JOIN mark w ON m.user_id = w.user_id AND m.article_id = w.article_id AND m.char_start < w.char_end AND m.char_end > w.char_start WHERE m.mark_id % 2 = 0 AND w.mark_id % 2 = 1"
@@ -419,6 +428,7 @@ SQL = {
     "agg7_per_year": A + " SELECT year, count(*)::BIGINT AS articles FROM pub GROUP BY 1",
     "agg8_top_authors": A + " SELECT author_id, last_name, articles FROM (SELECT author_id, count(DISTINCT article_id)::BIGINT AS articles FROM article_author WHERE article_id IN (SELECT article_id FROM pub) GROUP BY 1) JOIN author USING (author_id) ORDER BY articles DESC, last_name, first_name NULLS FIRST, middle_name NULLS FIRST, author_id LIMIT 10",
     "agg9_corpus_stats": A + f", {TEXT} SELECT (SELECT count(DISTINCT (year, coalesce(volume, ''), coalesce(number, '')))::BIGINT FROM pub) AS issues, (SELECT count(*)::BIGINT FROM pub) AS articles, (SELECT count(DISTINCT author_id)::BIGINT FROM article_author WHERE article_id IN (SELECT article_id FROM pub)) AS authors, (SELECT coalesce(sum(length(coalesce(body_text, ''))), 0)::BIGINT FROM txt WHERE article_id IN (SELECT article_id FROM pub)) AS characters",
+    "agg9_corpus_tokens": BASE + A.removeprefix(f"WITH {ARTICLE}") + f", {_SIZE} SELECT (SELECT count(DISTINCT (year, coalesce(volume, ''), coalesce(number, '')))::BIGINT FROM pub) AS issues, (SELECT count(*)::BIGINT FROM pub) AS articles, (SELECT count(DISTINCT author_id)::BIGINT FROM article_author WHERE article_id IN (SELECT article_id FROM pub)) AS authors, (SELECT coalesce(sum(n), 0)::BIGINT FROM n WHERE article_id IN (SELECT article_id FROM pub)) AS tokens",
     "agg10_issue_counts": A + ", n AS (SELECT year, coalesce(volume, '') AS volume, coalesce(number, '') AS number, article_id FROM article) SELECT year, volume, number, count(DISTINCT n.article_id)::BIGINT AS articles, count(DISTINCT author_id)::BIGINT AS authors, concat_ws(' ', year::VARCHAR, CASE WHEN volume <> '' THEN 'Т. ' || volume END, CASE WHEN number <> '' THEN '№ ' || number END) AS label FROM n LEFT JOIN article_author l ON n.article_id = l.article_id GROUP BY ALL",
     "agg12_city_rollup": GEO + " SELECT city_location_id, display_name, articles, authors, affiliations FROM cit",
     "agg13_country_rollup": GEO + " SELECT country, count(DISTINCT city_location_id)::BIGINT AS cities, count(DISTINCT author_id)::BIGINT AS authors, count(DISTINCT article_id)::BIGINT AS articles FROM base GROUP BY 1",
@@ -441,6 +451,7 @@ SQL = {
     "set1_scope_union": A + " SELECT article_id FROM pub WHERE year = 2020 UNION SELECT article_id FROM pub WHERE language = 'en'",
     "set3_membership_refresh": _SUB + " SELECT * FROM mem WHERE source = 'manual' UNION ALL SELECT article_id % 7, article_id, 'filter' FROM article WHERE year >= 2020 AND article_id NOT IN (SELECT article_id FROM mem WHERE source = 'manual')",
     "agg20_subcorpus_totals": _SUB + f", {TEXT} SELECT subcorpus_id, count(*)::BIGINT AS articles, coalesce(sum(length(coalesce(body_text, ''))), 0)::BIGINT AS tokens FROM mem LEFT JOIN txt USING (article_id) GROUP BY 1",
+    "agg20_subcorpus_tokens": BASE + _SUB.removeprefix(f"WITH {ARTICLE}") + f", {_SIZE} SELECT subcorpus_id, count(*)::BIGINT AS articles, coalesce(sum(n), 0)::BIGINT AS tokens FROM mem LEFT JOIN n USING (article_id) GROUP BY 1",
     "flt11_candidates": _SUB + " SELECT article_id, year FROM pub WHERE article_id NOT IN (SELECT article_id FROM mem WHERE subcorpus_id = 3)",
     "l10_members": _SUB + " SELECT subcorpus_id, article_id, source FROM mem",
     "m13_add_remove": _SUB + ", ext AS (SELECT 1::BIGINT AS subcorpus_id, article_id FROM article WHERE year = 2005), al AS (SELECT * FROM mem UNION ALL SELECT subcorpus_id, article_id, 'manual' FROM ext WHERE (subcorpus_id, article_id) NOT IN (SELECT (subcorpus_id, article_id) FROM mem)) SELECT * FROM al WHERE (subcorpus_id, article_id) NOT IN (SELECT (article_id % 7, article_id) FROM article WHERE year = 2021)",

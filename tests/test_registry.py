@@ -31,3 +31,12 @@ def test_sql_agrees(spark, name):
     cols = sorted(want.columns)
     got = Counter(tuple(r) for r in e.queries()[name](spark, DATA).select(*cols).collect())
     assert got == Counter(want.project(", ".join(cols)).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["agg20_subcorpus_tokens", "agg9_corpus_tokens"])
+def test_token_totals_count_tokens(spark, name):
+    import __spark_entry__ as e
+
+    test_sql_agrees(spark, name)
+    assert "length(coalesce(body_text" not in e.oracle_sql()[name]
