@@ -127,9 +127,41 @@ def test_chains_are_undone(chain):
     assert tried
 
 
-def test_repair():
+def model_of(spark, texts):
+    values = spark.createDataFrame([("f", i, "s", t) for i, t in enumerate(texts)], "field_name string, record_id long, source string, value string")
+    return mojibake.fit_model(mojibake.token_counts(values))
+
+
+def test_recurring_damage_never_makes_a_clean_word_suspect(spark):
+    clean = "Решение принято в рамках целевой программы (англ. target programme)."
+    bad = [d for c in range(len(mojibake.CHAINS)) for w in ("рамках", "программы") if (d := encoded(c, w)) and d != w and mojibake.usual(d)]
+    assert bad
+    model = model_of(spark, [clean] * 200 + [f"Решение принято в {d} целевой программы" for d in bad for _ in range(20)] + ["РСФСР и КПЭ-2 об-"] * 20)
+    assert {"рамках", "англ", "рсфср"} <= model.words and not {d.lower() for d in bad} & model.words
+    fix = mojibake.Repairer(model, mojibake.Shares())
+    assert not any(fix.repair(t, "g|")[0] for t in (clean, "(КПЭ-2). РСФСР: в рамках", "об-", "эх, ну и НА том"))
+    assert fix.repair(mojibake.damage(0, "программы" * 60), "g|") == (True, "программы" * 60)  # a token of 1080 characters
+
+
+def encoded(chain, text):
+    try:
+        return mojibake.damage(chain, text)
+    except (UnicodeEncodeError, KeyError):
+        return None
+
+
+def test_groups_past_the_largest_pool_their_evidence(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "GROUPS", 2)
+    texts = [("f", i, f"s{i % 7}", RU if i % 2 else mojibake.damage(0, RU)) for i in range(140)]
+    values = spark.createDataFrame(texts, "field_name string, record_id long, source string, value string")
+    counts = mojibake.token_counts(values)
+    shares = mojibake.em_shares(counts, mojibake.fit_model(counts))
+    assert len(shares.by_group) == 3 and shares.of("f|s6") == shares.by_group["f|"] and shares.of("f|s6")[1] > -2
+
+
+def test_repair(spark):
     texts = [RU, EN, DE, FR, UK, "Поиск по лемме: новый рынок"] * 30
-    fix = mojibake.Repairer(mojibake.fit_model(texts), mojibake.Shares())
+    fix = mojibake.Repairer(model_of(spark, texts), mojibake.Shares())
     for chain in (0, 1, 5, 9, 10, 15):
         bad = mojibake.damage(chain, "Региональный рынок определяет границы")
         assert fix.repair(bad, "g|") == (True, "Региональный рынок определяет границы")
