@@ -93,17 +93,53 @@ def test_best_fit_takes_the_fullest_that_fits():
     assert b.put(9) == 2 and b.put(8) == 3 and b.put(5) == 4 and b.put(2) == 3  # the fullest of two open ones was closed
 
 
-def test_pfair_stays_within_a_block():
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.05, "c": 0.05}, {"x": 1.0}, {str(i): 1 + i for i in range(13)}):
-        parts = mixture.whole_weights(weights, 200)
-        q = sum(parts.values())
-        assert q == 200
+def test_pfair_stays_within_a_block_of_the_target():
+    many = {str(i): 0.9 / 4999 for i in range(4999)} | {"thin": 0.1}
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.05, "c": 0.05}, {"x": 1.0}, {str(i): 1 + i for i in range(13)}, {"a": 0.9999, "b": 0.0001}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, many):
+        parts = mixture.whole_weights(weights)
+        q, total = sum(parts.values()), sum(weights.values())
         done = Counter()
-        for t, s, k, release, due in mixture.pfair(parts):
+        watched = sorted(weights, key=weights.get)[:3] + sorted(weights, key=weights.get)[-3:]
+        for t, s, k, release, due in mixture.pfair(parts, 60_000):
             done[s] += 1
             assert release <= t < due and k == done[s] - 1
-            assert all(abs(done[x] - (t + 1) * a / q) < 1 for x, a in parts.items())
-        assert done == Counter(parts)
+            assert all(abs(done[x] - (t + 1) * weights[x] / total) < 1 for x in watched)
+        if q <= 60_000:
+            assert done == Counter(parts)
+
+
+def test_weights_of_any_number_of_sources():
+    rng = random.Random(3)
+    equal = mixture.whole_weights({str(i): 1.0 for i in range(5000)})
+    assert set(equal.values()) == {1} and len(equal) == 5000
+    assert mixture.whole_weights({"a": 0.9999, "b": 0.0001}) == {"a": 9999, "b": 1}
+    odd = mixture.whole_weights({str(i): rng.random() for i in range(5000)})
+    assert sum(odd.values()) <= mixture.PERIOD and min(odd.values()) >= 1
+    tiny = mixture.whole_weights({str(i): 1e-12 for i in range(5000)} | {"big": 1.0})
+    assert tiny["big"] == mixture.PERIOD - 5000 and set(tiny.values()) == {1, tiny["big"]}
+    with pytest.raises(ValueError):
+        mixture.whole_weights({"a": 1.0, "b": 1.0, "c": 1.0}, 2)
+
+
+def test_every_use_has_its_slot(spark, tmp_path):
+    rng = random.Random(1)
+    docs = [(i, " ".join("рынок" for _ in range(rng.randrange(1, 400))), "abc"[min(i % 20, 2)]) for i in range(400)] + [(900, "x y", "other"), (901, None, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("a", 0.2, 9), ("b", 0.1, 2), ("c", 0.7, 1), ("none", 0.5, 3)], "source string, target_share double, max_repeats int").write.parquet(str(tmp_path / "mixture_target.parquet"))
+    rows = mixture.p8_mixture(spark, str(tmp_path)).collect()
+    uses = Counter(r["doc_id"] for r in rows if r["repeats"])
+    assert all(uses[r["doc_id"]] == r["repeats"] for r in rows if r["repeats"]) and max(uses.values()) > 1
+    assert {r["doc_id"] for r in rows if not r["repeats"]} >= {900, 901} and all(r["slot"] is None for r in rows if not r["repeats"])
+    total = sum(r["n_tokens"] for r in rows if r["repeats"])
+    ordered = sorted((r for r in rows if r["repeats"]), key=lambda r: (r["slot"], r["place"]))
+    for s, w in (("a", 0.2), ("b", 0.1), ("c", 0.7)):
+        own = [r for r in ordered if r["source"] == s]
+        assert [r["place"] for r in own] == sorted(r["place"] for r in own) and len({r["place"] for r in own}) == len(own)
+        assert abs(sum(r["n_tokens"] for r in own) / total - w) < 0.01
+    slots = {(r["source"], r["block"]): r["slot"] for r in ordered}
+    assert len(set(slots.values())) == len(slots)  # no two blocks share a slot
+    for s, w in (("a", 0.2), ("b", 0.1), ("c", 0.7)):
+        assert all(abs(slots[s, k] - k / w) <= 1 / w + 1 for x, k in slots if x == s)
 
 
 def test_amounts_reach_the_targets():
