@@ -61,11 +61,13 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomlex-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove the files at ``path`` when the driver process ends."""
+
     def drop() -> None:
         try:
             jvm = spark.sparkContext._jvm
