@@ -1,21 +1,30 @@
 """Problem 6: occurrences and record counts of every term, kept up to date by signed deltas.
 
-A *record* is an article; it may own several rows.  A change of the source is first reduced to
-the articles it touches: all rows these had before get sign -1, all rows they have now +1.
-``text_delta`` and ``list_delta`` aggregate only these signed rows into changes per term, and
-``merge_counts`` adds changes to the stored counts, which lie in hash buckets so that a merge
-rewrites only the buckets it changes.  The first load is a delta on empty counts.
+A *record* is an article; it may own several rows.  A change of the source is a set of rows that
+left and a set that came.  Their occurrences get signs -1 and +1.  A term counts a record once,
+however many rows of the record have it, so the rows that stay in a touched record are counted
+too, once with the old state (-1) and once with the new one (+1).  ``text_delta`` and ``list_delta``
+aggregate these signed rows into changes per term.
+
+:class:`TermStore` keeps the counts in hash buckets.  ``apply`` merges the changes into new files of
+the buckets that have such terms, then puts down a manifest that names the files of every bucket
+and the changes merged so far.  A change whose id the manifest has is left alone, and a merge that
+fails half-way leaves the old manifest in force, so a change may be sent again.  Queries read
+the store: the first load is a change of an empty store, later rows are a second change.
 
 Nulls and edges: a NULL or empty text or list has no terms; a row with NULL ``article_id`` adds
 occurrences but no record; repeated rows add occurrences each and the article once; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; a row with NULL in the column that orders changes is in the first load; other
+columns are ignored; the number of records is kept as that of the term ''.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlex.session import broadcast_if_small, ship_package, stage_table, table
+from loomlex.session import broadcast_if_small, drop_at_exit, shared_dir, ship_package, stage_table, table
 
 BUCKETS = 64
+#: The term whose records are all records that have a row.
+RECORDS = ""
 #: Entries after which a task hands on what it has counted so far.
 FLUSH = 400_000
 
@@ -74,10 +85,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for article, sign, many, text in zip(*(b.column(c).to_pylist() for c in ("article_id", "sign", "many", "text")), strict=True):
-            if not text:
-                continue
-            row: dict[str, int] = {}
-            for piece, n in Counter(text.split()).items():
+            row: dict[str, int] = {} if article is None else {RECORDS: 0}
+            for piece, n in Counter((text or "").split()).items():
                 for t in terms[piece]:
                     row[t] = row.get(t, 0) + n
             if many:  # the article has other rows: its terms must meet before it counts once
@@ -148,35 +157,87 @@ def signed_changes(old: DataFrame | None, new: DataFrame, row_id: str, value: st
     return side(old, -1).unionByName(side(new, 1))
 
 
-def merge_counts(counts: DataFrame | None, delta: DataFrame) -> DataFrame:
-    """Counts (term, occurrences, records) after adding ``delta``; terms that fall to nothing leave."""
-    add = delta.select("term", F.col("d_occurrences").alias("occurrences"), F.col("d_records").alias("records"))
-    both = add if counts is None else counts.select("term", "occurrences", "records").unionByName(add)
-    return both.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences > 0")
-
-
-def store_counts(counts: DataFrame, path: str) -> None:
-    """Write counts to ``path`` in hash buckets; only buckets that ``counts`` has are replaced."""
-    b = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-    b.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def added_changes(before: DataFrame, added: DataFrame, value: str) -> DataFrame:
+    """As :func:`signed_changes` where rows only come: ``added`` to ``before``.
 
-
-def update_store(spark: SparkSession, path: str, delta: DataFrame) -> None:
-    """Merge ``delta`` into the counts at ``path``, touching only the buckets of its terms.
-
-    The new contents of those buckets are staged first, so the store is never read and replaced
-    in one job.  A term whose counts fall to nothing stays as a zero row, so that its bucket is
-    replaced; :func:`read_store` leaves such rows out.
+    Only the ids of the two meet; of the rows before, those of records that have new rows as well are
+    read, and counted with either sign.
     """
-    delta = stage_table(delta, "delta")
-    hit = [r[0] for r in delta.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).alias("b")).distinct().collect()]  # at most BUCKETS
-    old = spark.read.parquet(path).where(F.col("bucket").isin(hit)).select("term", "occurrences", "records")
-    new = delta.select("term", F.col("d_occurrences").alias("occurrences"), F.col("d_records").alias("records")).unionByName(old)
-    store_counts(stage_table(new.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "merged"), path)
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).where("occurrences > 0").select("term", "occurrences", "records")
+    cols = ["article_id", value]
+    both = stage_table(added.select("article_id").where("article_id is not null").distinct().join(before.select("article_id").distinct(), "article_id", "left_semi"), "touched")
+    stay = before.join(broadcast_if_small(both), "article_id", "left_semi")
+    return added.select(*cols, F.lit(1).alias("sign")).unionByName(stay.select(*cols, F.explode(F.array(F.lit(-1), F.lit(1))).alias("sign")))
+
+
+class TermStore:
+    """Counts (term, occurrences, records) below ``path``, in hash buckets named by a manifest."""
+
+    SCHEMA = "term string, occurrences bigint, records bigint"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+        self.jvm = spark.sparkContext._jvm
+        self.fs = self.jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def state(self) -> dict:
+        """The newest manifest: number, folder of every bucket, ids of the changes merged."""
+        if not self.fs.exists(self._at("")):
+            return {"number": 0, "buckets": {}, "changes": []}
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._at(""))]
+        found = [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)[.]json", n))]
+        if not found:
+            return {"number": 0, "buckets": {}, "changes": []}
+        stream = self.fs.open(self._at(f"manifest-{max(found)}.json"))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, state: dict) -> None:
+        part, final = self._at(f"part-{uuid.uuid4().hex}"), self._at(f"manifest-{state['number']}.json")
+        out = self.fs.create(part, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self.fs.rename(part, final):
+            raise OSError(f"another writer has put down {final}")
+
+    def apply(self, change: str, delta: DataFrame) -> bool:
+        """Merge ``delta`` (term, d_occurrences, d_records); False if ``change`` is merged already.
+
+        Only buckets with terms of the delta are read and written; terms that fall to nothing leave.
+        """
+        state = self.state()
+        if change in state["changes"]:
+            return False
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        delta = stage_table(delta.select("term", F.col("d_occurrences").alias("occurrences"), F.col("d_records").alias("records"), bucket.alias("bucket")), "delta")
+        hit = [r[0] for r in delta.select("bucket").distinct().collect()]  # at most ``buckets``
+        old = [state["buckets"][str(b)] for b in hit if str(b) in state["buckets"]]
+        both = delta.select("term", "occurrences", "records").unionByName(self._read(old)) if old else delta
+        new = both.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences > 0 or records > 0")
+        number = state["number"] + 1
+        folder = f"{self.path}/v{number}-{uuid.uuid4().hex}"
+        new.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        written = {s.getPath().getName() for s in self.fs.listStatus(self.jvm.org.apache.hadoop.fs.Path(folder))}
+        kept = {b: p for b, p in state["buckets"].items() if int(b) not in set(hit)}
+        kept |= {str(b): f"{folder}/bucket={b}" for b in hit if f"bucket={b}" in written}
+        self._commit({"number": number, "buckets": kept, "changes": [*state["changes"], change]})
+        return True
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*folders)
+
+    def read(self) -> DataFrame:
+        """Counts of all terms and of RECORDS."""
+        folders = list(self.state()["buckets"].values())
+        return self._read(folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
+
+    def records(self) -> int:
+        one = self.read().where(F.col("term") == RECORDS).select("records").collect()
+        return one[0][0] if one else 0
 
 
 def verdicts(counts: DataFrame, n_records: int, rare_below: int = 3, common_above: float = 0.1) -> DataFrame:
@@ -184,16 +245,32 @@ def verdicts(counts: DataFrame, n_records: int, rare_below: int = 3, common_abov
     return counts.withColumn("verdict", F.when(F.col("records") < rare_below, "rare").when(F.col("records") > common_above * n_records, "common"))
 
 
+def _two_changes(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows up to the median of ``by`` (or without it), and the rows after."""
+    cut = rows.agg(F.percentile_approx(by, 0.5)).collect()[0][0]
+    late = F.coalesce(F.col(by) > F.lit(cut), F.lit(False))
+    return rows.where(~late), rows.where(late)
+
+
+def _filled(spark: SparkSession, rows: DataFrame, by: str, value: str, delta) -> TermStore:
+    """A store with the earlier half of ``rows`` loaded and the later half merged as a change."""
+    path = f"{shared_dir(spark)}/loomlex-terms-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    store = TermStore(spark, path)
+    early, late = _two_changes(rows, by)
+    store.apply("load", delta(signed_changes(None, early, "", value)))
+    store.apply("late rows", delta(added_changes(early, late, value)))
+    return store
+
+
 def _all_counts(spark: SparkSession, d: str) -> DataFrame:
-    text = table(spark, d, "article_text")
-    body = signed_changes(None, text.select("text_id", "article_id", F.col("body_text").alias("text")), "text_id", "text")
-    words = table(spark, d, "article_metadata")
-    keys = signed_changes(None, words.select("record_id", "article_id", F.col("keywords").alias("terms")), "record_id", "terms")
-    n = text.select("article_id").distinct().count()
-    both = merge_counts(None, text_delta(body)).withColumn("field_name", F.lit("article_text.body_text")).unionByName(
-        merge_counts(None, list_delta(keys)).withColumn("field_name", F.lit("article_metadata.keywords"))
+    text = table(spark, d, "article_text").select("article_id", "updated_at", F.col("body_text").alias("text"))
+    words = table(spark, d, "article_metadata").select("article_id", "ingested_at", F.col("keywords").alias("terms"))
+    body, keys = _filled(spark, text, "updated_at", "text", text_delta), _filled(spark, words, "ingested_at", "terms", list_delta)
+    both = body.read().where(F.col("term") != RECORDS).withColumn("field_name", F.lit("article_text.body_text")).unionByName(
+        keys.read().withColumn("field_name", F.lit("article_metadata.keywords"))
     )
-    return verdicts(both, n)
+    return verdicts(both, body.records())
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

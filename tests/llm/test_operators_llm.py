@@ -38,16 +38,40 @@ def test_signed_deltas_equal_a_recount(spark, tmp_path):
     new = [(i, a, (t or "") + " изменено" if i % 11 == 0 else t) for i, a, t in new]
     schema = "row long, article_id long, text string"
     frame = lambda rows: spark.createDataFrame(rows, schema)
-    counts = termcount.merge_counts(None, termcount.text_delta(termcount.signed_changes(None, frame(old), "row", "text")))
-    got = lambda df: {r["term"]: (r["occurrences"], r["records"]) for r in df.collect()}
-    assert got(counts) == brute_terms([r[1:] for r in old])
+    got = lambda df: {r["term"]: (r["occurrences"], r["records"]) for r in df.collect() if r["term"]}
+    store = termcount.TermStore(spark, str(tmp_path / "counts"), 8)
+    assert store.read().count() == 0 and store.records() == 0
+    assert store.apply("load", termcount.text_delta(termcount.signed_changes(None, frame(old), "row", "text")))
+    assert got(store.read()) == brute_terms([r[1:] for r in old]) and store.records() == 4
     delta = termcount.text_delta(termcount.signed_changes(frame(old), frame(new), "row", "text"))
     want = brute_terms([r[1:] for r in new])
-    assert got(termcount.merge_counts(counts, delta)) == want
-    path = str(tmp_path / "counts")
-    termcount.store_counts(counts, path)
-    termcount.update_store(spark, path, delta)
-    assert got(termcount.read_store(spark, path)) == want
+    assert store.apply("second", delta) and got(store.read()) == want
+    assert not store.apply("second", delta) and got(store.read()) == want  # a change that comes again changes nothing
+    assert not termcount.TermStore(spark, str(tmp_path / "counts"), 8).apply("load", delta)
+    gone = termcount.text_delta(termcount.signed_changes(frame(new), frame([]), "row", "text"))
+    assert store.apply("all gone", gone) and store.read().count() == 0 and store.state()["buckets"] == {}
+
+
+def test_a_merge_that_fails_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch):
+    delta = lambda n: spark.createDataFrame([("a", n, 1), ("b", 1, 1)], "term string, d_occurrences long, d_records long")
+    store = termcount.TermStore(spark, str(tmp_path / "counts"), 2)
+    store.apply("one", delta(3))
+    with monkeypatch.context() as m:
+        m.setattr(termcount.TermStore, "_commit", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.apply("two", delta(4))
+    assert {(r[0], r[1]) for r in store.read().collect()} == {("a", 3), ("b", 1)}
+    assert store.apply("two", delta(4)) and {(r[0], r[1]) for r in store.read().collect()} == {("a", 7), ("b", 2)}
+
+
+def test_added_rows_count_a_record_once(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 2, 3, 4, 5, None]), " ".join(rng.choice("абвгде") for _ in range(6)) if i % 4 else None) for i in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "article_id long, text string")
+    store = termcount.TermStore(spark, str(tmp_path / "counts"), 4)
+    store.apply("load", termcount.text_delta(termcount.signed_changes(None, frame(rows[:30]), "", "text")))
+    store.apply("late", termcount.text_delta(termcount.added_changes(frame(rows[:30]), frame(rows[30:]), "text")))
+    assert {r["term"]: (r["occurrences"], r["records"]) for r in store.read().collect() if r["term"]} == brute_terms(rows) and store.records() == 5
 
 
 def test_keyword_delta(spark):
