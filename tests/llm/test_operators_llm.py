@@ -347,20 +347,91 @@ def test_pigeonhole_join_equals_all_pairs(spark):
 # ---------------------------------------------------------------- scans
 
 
-def test_scanned_page():
-    para = "региональный рынок определяет границы социальной политики и занятости населения страны"
-    lexicon = dict.fromkeys(para.split(), 50) | {"отдельных": 9, "условиях": 9}
-    seen = Counter({w: 3 for w in lexicon}) + Counter({w.replace("о", "0", 1): 4 for w in lexicon if "о" in w})
-    editor = scans.build_editor(lexicon, seen)
-    assert editor.edit("рын0к") == ("рынок", 3) and editor.edit("рынок")[1] == -1
+PARA = "региональный рынок определяет границы социальной политики и занятости населения страны"
+
+
+def editor_of(spark):
+    lexicon = dict.fromkeys(PARA.split(), 50) | {"отдельных": 9, "условиях": 9, "производство": 9, "экономике": 5, "потребность": 5, "конкуренция": 5}
+    scanned = Counter({w: 3 for w in lexicon}) + Counter({w.replace("о", "0", 1): 4 for w in lexicon if "о" in w and len(w) > 4})
+    rows = [("word", w, n) for w, n in lexicon.items()] + [("scan", w, n) for w, n in scanned.items()]
+    confusions, pairs = scans.confusions_of(spark.createDataFrame(rows, "kind string, word string, n long"))
+    assert set(confusions) == {("0", "о")} and ("рын0к", "рынок") in pairs
+    ends = [("социа", "льной", "л", "-"), ("рын", "ок", "о", "-"), ("политики", "занятости", "з", "-"), ("рынок", "страны", "С", "-")] * 10
+    return scans.build_editor(lexicon, confusions, pairs, [w for w in scanned if w in lexicon], ends)
+
+
+def test_scanned_page(spark):
+    editor = editor_of(spark)
+    assert editor.edit("рын0к") == ("рынок", 3) and editor.edit("рынок")[1] == -1 and editor.edit("п0лит0лог") == ("политолог", 1)
     lines = ["ЖУРНАЛ ЭКОНОМИКИ", "региональный рын0к определяет границы социа-", "льной политики и занятости населения страны,", "- 12 -", "ЖУРНАЛ ЭКОНОМИКИ", "и региональный рынок определяет границы соци-", "альной политики и занятости населения страны.", "- 13 -"]
-    rows = scans.body_lines("\n".join(lines), "", editor, frozenset({"журналэкономики"}))
-    assert (2, "chars") in rows and (2, "hyphen") in rows and (6, "hyphen") in rows
-    assert {n for n, k in rows if k == "page_number"} == {4, 8} and {n for n, k in rows if k == "header"} == {1, 5}
-    text = scans.clean_text("\n".join(lines), "", editor, frozenset({"журналэкономики"}))
-    assert "рынок определяет границы социальной политики" in text and "ЖУРНАЛ" not in text and "12" not in text
-    assert scans.body_lines("", "", editor, frozenset()) == [] and scans.body_lines("a\nb\nc", "", editor, frozenset()) == []
-    assert scans.clean_text("Обычный текст.", "", editor, frozenset()) is None
+    heads = frozenset({"журналэкономики"})
+    for judge in (scans.SEED, scans.fit_furniture([("\n".join(lines), "", heads)] * 60)):
+        rows = scans.body_lines("\n".join(lines), "", editor, judge, heads)
+        assert (2, "chars") in rows and (2, "hyphen") in rows and (6, "hyphen") in rows
+        assert {n for n, k in rows if k == "page_number"} == {4, 8} and {n for n, k in rows if k == "header"} == {1, 5}
+        text = scans.clean_text("\n".join(lines), "", editor, judge, heads)
+        assert "рынок определяет границы социальной политики" in text and "ЖУРНАЛ" not in text and "12" not in text
+    assert scans.body_lines("", "", editor) == [] and scans.body_lines("a\nb\nc", "", editor) == []
+    assert scans.clean_text("Обычный текст.", "", editor) is None
+    assert editor.edit("щ" * 5000) == ("щ" * 5000, -1) and editor.edit("рын0к" * 900)[1] == 3
+
+
+def test_line_ends_are_predicted(spark):
+    editor = editor_of(spark)
+    of = lambda line, after: editor.line_end(line, after)[0]
+    assert of("границы социа-", "льной политики") == of("границы мунипа-", "литета и") == "join"
+    assert of("социальной политики-", "занятости страны") == "hyphen" and of("границы рынка-", "Региона страны") == "break"
+    assert of("границы рынка", "региона") == of("границы -", "региона") == of("границы", "") == "break"
+
+
+def test_operations_make_the_word():
+    rng = random.Random(5)
+    for _ in range(300):
+        w = "".join(rng.choice("абвrn") for _ in range(rng.randrange(1, 9)))
+        i = rng.randrange(len(w))
+        seen, meant = w[i : i + rng.randrange(0, 3)], "".join(rng.choice("абm") for _ in range(rng.randrange(0, 3)))
+        ops = scans.operations(i, seen, meant)
+        assert scans.perform(w, ops) == w[:i] + meant + w[i + len(seen) :]
+        assert {o for o, _, _ in ops} <= {"replace", "delete", "insert"}
+
+
+def test_confusion_join_equals_all_pairs(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("абвг") for _ in range(rng.randrange(5, 9)))
+    known, seen = sorted({word() for _ in range(60)}), sorted({word().replace("а", rng.choice("а0"), 1) for _ in range(80)})
+    seen = [w for w in seen if w not in known]
+
+    def reached(w):
+        out = {}
+        for m in known:
+            pairs = [(x, y) for r, x in scans.holes(w) for q, y in scans.holes(m) if r == q and scans.confusable(x, y)]
+            if pairs:
+                out[m] = min(pairs, key=lambda p: (len(p[0]) + len(p[1]), p))
+        return out
+
+    want = {w: (m, *c) for w in seen if len(r := reached(w)) == 1 for m, c in r.items()}
+    rows = [("word", w, 5) for w in known] + [("scan", w, 1) for w in seen]
+    counts = Counter((a, b) for _, a, b in want.values())
+    got, pairs = scans.confusions_of(spark.createDataFrame(rows, "kind string, word string, n long"))
+    assert all(n == counts[c] for c, n in got.items()) and all(want[w][0] == m for w, m in pairs)
+
+
+def test_header_keys_equal_all_pairs(spark):
+    rng = random.Random(8)
+    heads = ["".join(rng.choice("абвгде") for _ in range(rng.randrange(5, 22))) for _ in range(400)]  # past any former limit
+    rows = [(t, h, 1) for i, h in enumerate(heads) for t in range(5 * i, 5 * i + 4)]
+    odd = []
+    for i, h in enumerate(heads):
+        x = list(h)
+        for _ in range(rng.randrange(1, 4)):
+            j = rng.randrange(len(x))
+            x[j : j + 1] = rng.choice(("", "ж", "жз"))
+        odd.append("".join(x))
+    rows += [(100_000 + i, k, 0) for i, k in enumerate(odd)] + [(200_000 + i, "введение", int(i < 5)) for i in range(40)]
+    got = {(r["text_id"], k) for r in scans.header_keys(spark.createDataFrame(rows, "text_id long, key string, heads int")).collect() for k in r["headers"]}
+    exact = set(heads)
+    want = {(t, k) for t, k, _ in rows if k in exact or len(k) > 11 and any(len(h) > 9 and scans.near(h, k, 2) for h in exact)}
+    assert got == want and len({k for t, k in want if t >= 100_000}) > 50
 
 
 def page(head, foot="- 12 -"):
@@ -382,9 +453,10 @@ def test_marks_in_headers_are_penalties_only():
 
 def test_survey_counts_headers_with_end_marks(spark):
     rows = [(i, "", "\n".join(page("Вестник экономики."))) for i in range(5)]
-    headers = scans._survey(spark.createDataFrame(rows, "text_id long, title_text string, body string"))[2]
-    assert "вестникэкономики" in headers
-    assert scans.classify(page("Вестник экономики."), "", headers)[1][3] == scans.HEADER
+    _, lines = scans.survey(spark.createDataFrame(rows, "text_id long, title_text string, body string"))
+    headers = {r["text_id"]: frozenset(r["headers"]) for r in scans.header_keys(lines).collect()}
+    assert set(headers) == set(range(5)) and all("вестникэкономики" in h for h in headers.values())
+    assert scans.classify(page("Вестник экономики."), "", headers[0])[1][3] == scans.HEADER
 
 
 # ---------------------------------------------------------------- spam
