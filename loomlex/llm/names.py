@@ -3,14 +3,17 @@
 1. *Reading.*  Letters are brought to one alphabet (look-alikes, the usual transliterations), the
    parts of a name to their roles, whatever field and order they stand in, and short forms of
    given names to the full one.  Rows with the same reading are one *form* from here on.
-2. *Pigeonhole segment join* on distinct surnames with their first initial: a surname within k = 1
-   edits keeps one of its k + 1 segments, at a place shifted by at most k.  The segments are an
-   inverted index, the substrings of a surname at those places are looked up in it; surnames with
-   the two letters at a cut swapped are looked up too, so that swaps count as one edit.  A banded
-   edit distance verifies.
+2. *Pigeonhole segment join* on distinct surnames with their first initial: a surname within k edits
+   keeps one of its k + 1 segments, at a place shifted by at most k.  The segments are an inverted
+   index, the substrings of a surname at those places are looked up in it; a banded edit distance
+   verifies.  k is 2 for surnames of ``LONG`` letters or more, else 1; with k = 1 surnames with the
+   two letters at a cut swapped are looked up too, so that swaps count as one edit.  Two edits, or
+   one in a surname of four letters or fewer, ask for equal given and middle names besides.
 3. *Persons.*  Forms with full given name and middle name that agree are joined to components;
    forms without the middle name, then forms with initials only, join the one component they agree
-   with.  A form that agrees with several persons stays apart, so that it can't join them.
+   with.  A form that agrees with several persons stays apart, so that it can't join them.  Forms
+   are compared within surname, initial and middle initial (or the lack of one), so that a surname
+   that very many bear isn't paired with itself as a whole.
 
 Nulls and edges: NULL and '' parts are missing parts; rows without any surname have no pairs;
 repeated rows of one id are one row; an empty table gives no rows; other columns are ignored.
@@ -27,15 +30,17 @@ from pyspark.sql import functions as F
 
 from loomlex.session import ship_package, stage_table, table
 
-#: Given names taken from the data, at most, and the surnames one must stand with.
-GIVEN_MOST, GIVEN_SURNAMES = 5_000, 4
+#: A given name stands with so many surnames, and in one of so many rows (so there are no more of them).
+GIVEN_SURNAMES, GIVEN_SHARE = 4, 20_000
+#: Surnames from this length on may differ by two edits.
+LONG = 7
 #: A name with less than one row to so many of a name one edit away is a misspelling of that one.
 GIVEN_RATIO = 8
 
 #: Look-alike Latin letters in words with Cyrillic ones.
 _LOOKS = str.maketrans("aceopxyktmhbi", "асеорхуктмнви")
 #: Latin spellings of Cyrillic letters, longest first, then single letters.
-_MANY = (("shch", "щ"), ("sch", "щ"), ("sh", "ш"), ("ch", "ч"), ("zh", "ж"), ("kh", "х"), ("ts", "ц"), ("tz", "ц"), ("yu", "ю"), ("iu", "ю"), ("ju", "ю"), ("ya", "я"), ("ia", "я"), ("ja", "я"), ("yo", "е"), ("ye", "е"), ("je", "е"))
+_MANY = (("shch", "щ"), ("sch", "щ"), ("sh", "ш"), ("ch", "ч"), ("zh", "ж"), ("kh", "х"), ("ts", "ц"), ("tz", "ц"), ("yu", "ю"), ("iu", "ю"), ("ju", "ю"), ("ya", "я"), ("ia", "я"), ("ja", "я"), ("yo", "е"), ("jo", "е"), ("ye", "е"), ("je", "е"))
 _ONE = str.maketrans({**dict(zip("abcdefghijklmnopqrstuvwyz", "абцдефгхииклмнопкрстуввиз")), "x": "кс"})
 _SAME = str.maketrans({"ё": "е", "й": "и", "ы": "и", "э": "е", "і": "и", "ї": "и", "є": "е", "ґ": "г", "ь": "", "ъ": ""})
 #: Full given names and their usual short forms.
@@ -52,6 +57,8 @@ robert bob rob bobby; samuel sam; sarah sally; stephen steve; susan sue; thomas
 
 _PATRONYMIC = re.compile(r"(?:ович|евич|ич|овна|евна|ична)$")
 _SPLIT = re.compile(r"[\s.,]+")
+#: Key of forms without a middle name.
+NONE = "-"
 
 
 def code(text: str | None) -> str:
@@ -64,7 +71,7 @@ def code(text: str | None) -> str:
             s = s.replace(a, b)
         s = s.translate(_ONE)
     s = s.translate(_SAME)
-    return s.replace("ияо", "яо").replace("ия", "я").replace("ии", "и").replace("ии", "и")
+    return s.replace("кс", "х").replace("ияо", "яо").replace("ия", "я").replace("ии", "и").replace("ии", "и")
 
 
 def _short_forms() -> dict[str, frozenset[str]]:
@@ -81,10 +88,9 @@ FULL_OF = _short_forms()
 _FIRST = {"ч": "ц", "ш": "с", "щ": "с", "ж": "з", "ю": "и", "я": "и"}
 
 
-def initial(given: str) -> str:
-    """Class of the first letter of a given name or of its full form."""
-    full = min(FULL_OF.get(given, {given})) if given else ""
-    return _FIRST.get(full[:1], full[:1])
+def initials(given: str) -> frozenset[str]:
+    """Classes of the first letters of a given name's full forms, or of its own."""
+    return frozenset(_FIRST.get(f[:1], f[:1]) for f in FULL_OF.get(given, (given,)) if f)
 
 
 def near(a: str, b: str) -> bool:
@@ -150,11 +156,35 @@ def is_full(part: str) -> bool:
     return len(part) > 2 or part in FULL_OF
 
 
-def given_agree(a: str, b: str, given_names) -> bool:
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance where it is at most ``most``, else ``most`` + 1 (banded)."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i] + [most + 1] * len(b)
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        row = new
+    return min(row[-1], most + 1)
+
+
+def reach(surname: str) -> int:
+    """k of a surname."""
+    return 2 if len(surname) >= LONG else 1
+
+
+def close(a: str, b: str) -> bool:
+    """Whether two surnames are within the reach of both."""
+    return near(a, b) or min(reach(a), reach(b)) > 1 and edits(a, b, 2) <= 2
+
+
+def given_agree(a: str, b: str, given_names, sure: bool = False) -> bool:
+    """Whether two given names can be one; ``sure`` when the rest of the name is the same in full."""
     if not a or not b:
         return True
     if not is_full(a) or not is_full(b):
-        return initial(a) == initial(b)
+        return bool(initials(a) & initials(b))
     if a == b:
         return True
     fa, fb = FULL_OF.get(a), FULL_OF.get(b)
@@ -163,6 +193,8 @@ def given_agree(a: str, b: str, given_names) -> bool:
     known_a, known_b = a in given_names or fa, b in given_names or fb
     if known_a and known_b:
         return False
+    if sure and min(len(a), len(b)) > 5 and edits(a, b, 2) <= 2:
+        return True
     return near(a, b) or any(near(x, b) for x in fa or ()) or any(near(a, x) for x in fb or ())
 
 
@@ -174,14 +206,21 @@ def middle_agree(a: str, b: str) -> bool:
     return near(a, b)
 
 
+def same_given(a: str, b: str) -> bool:
+    return is_full(a) and is_full(b) and (a == b or bool(FULL_OF.get(a, frozenset()) & FULL_OF.get(b, frozenset())))
+
+
 def agree(a: tuple[str, str, str], b: tuple[str, str, str], given_names) -> bool:
     """Whether two forms can be one person's."""
-    if not (a[0] == b[0] or len(a[0]) > 4 and len(b[0]) > 4 and near(a[0], b[0])):
-        return False
+    if a[0] != b[0]:
+        plain = min(len(a[0]), len(b[0])) > 4 and near(a[0], b[0])
+        if not plain and not (close(a[0], b[0]) and same_given(a[1], b[1]) and a[2] and b[2] and middle_agree(a[2], b[2])):
+            return False
     if (a[0] == b[0] + "а" or b[0] == a[0] + "а") and not (is_full(a[1]) and a[1] == b[1]):
         return False  # the surnames of a man and a woman
-    changed = (a[0] != b[0]) + (is_full(a[1]) and is_full(b[1]) and a[1] != b[1] and not FULL_OF.get(a[1], frozenset()) & FULL_OF.get(b[1], frozenset())) + (len(a[2]) > 2 and len(b[2]) > 2 and a[2] != b[2])
-    return changed <= 2 and given_agree(a[1], b[1], given_names) and middle_agree(a[2], b[2])
+    changed = (a[0] != b[0]) + (is_full(a[1]) and is_full(b[1]) and a[1] != b[1] and not same_given(a[1], b[1])) + (len(a[2]) > 2 and len(b[2]) > 2 and a[2] != b[2])
+    sure = a[0] == b[0] and a[2] == b[2] and bool(a[2])
+    return changed <= 2 and given_agree(a[1], b[1], given_names, sure) and middle_agree(a[2], b[2])
 
 
 # ------------------------------------------------------------------ Spark
@@ -230,42 +269,44 @@ def given_lexicon(authors: DataFrame) -> frozenset[str]:
 
     rows = _map(authors.select("author_id", "last_name", "first_name").distinct(), "given string, surname string", plain).groupBy("given", "surname").agg(F.count(F.lit(1)).alias("n"))
     by_name = rows.groupBy("given").agg(F.count(F.lit(1)).alias("surnames"), F.sum("n").alias("n"))
-    top = by_name.where(F.col("surnames") >= GIVEN_SURNAMES).orderBy(F.desc("surnames"), "given").limit(GIVEN_MOST)
-    return without_misspelt({r["given"]: r["n"] for r in top.collect()})
+    total = by_name.agg(F.sum("n")).collect()[0][0] or 0
+    often = by_name.where((F.col("surnames") >= GIVEN_SURNAMES) & (GIVEN_SHARE * F.col("n") >= total))
+    return without_misspelt({r["given"]: r["n"] for r in often.collect()})  # at most GIVEN_SHARE names
 
 
-def segments(surname: str) -> list[tuple[int, str]]:
-    """The two segments of a surname, for the index."""
-    h = len(surname) // 2
-    return [(0, surname[:h]), (1, surname[h:])]
+def segments(surname: str, k: int = 1) -> list[tuple[int, str]]:
+    """The k + 1 segments of a surname, for the index."""
+    n = len(surname)
+    return [(i, surname[n * i // (k + 1) : n * (i + 1) // (k + 1)]) for i in range(k + 1)]
 
 
-def probes(surname: str) -> list[tuple[int, int, str]]:
-    """(length, segment number, substring) where a surname within one edit may have a segment.
+def probes(surname: str, k: int = 1) -> list[tuple[int, int, str]]:
+    """(length, segment number, substring) where a surname within k edits may have a segment.
 
-    For every length in reach: the first segment stands where it was, or the second shifted by the
-    difference of lengths, or by one either way when the edit replaced a letter.
+    For every length in reach, segment i stands shifted by no more edits than fit before it, and the
+    rest by no more than fit behind it.  With k = 1 the two letters at the cut are tried swapped.
     """
     out = set()
-    n = len(surname)
-    for s in {surname, *(surname[: h - 1] + surname[h] + surname[h - 1] + surname[h + 1 :] for h in (n // 2,) if 0 < h < n)}:
-        for m in (n - 1, n, n + 1):
-            h = m // 2
-            if 0 < h < m:
-                out.add((m, 0, s[:h]))
-                at = h + n - m
-                out.add((m, 1, s[max(at, 0) : max(at, 0) + m - h]))
-    return [p for p in out if len(p[2])]
+    n, cut = len(surname), len(surname) // 2
+    swapped = surname[: cut - 1] + surname[cut] + surname[cut - 1] + surname[cut + 1 :] if k == 1 and 0 < cut < n else surname
+    for s in {surname, swapped}:
+        for m in range(max(1, n - k), n + k + 1):
+            for i in range(k + 1):
+                x, y = m * i // (k + 1), m * (i + 1) // (k + 1)
+                for shift in range(max(-i, n - m - (k - i)), min(i, n - m + (k - i)) + 1):
+                    if x + shift >= 0 and y + shift <= n and y > x:
+                        out.add((m, i, s[x + shift : y + shift]))
+    return sorted(out)
 
 
 def surname_pairs(forms: DataFrame) -> DataFrame:
-    """Pairs (a, b, initial) of different surnames within one edit that share an initial."""
+    """Pairs (a, b, initial) of different surnames within the reach of both that share an initial."""
     keys = stage_table(forms.where("surname <> '' and initial <> ''").select("surname", "initial").distinct(), "surnames")
-    long = keys.where(F.length("surname") > 4)
-    index = _map(long, "a string, initial string, n int, part int, text string", lambda r: [(r[0], r[1], len(r[0]), i, t) for i, t in segments(r[0])])
-    probe = _map(long, "b string, initial string, n int, part int, text string", lambda r: [(r[0], r[1], n, i, t) for n, i, t in probes(r[0])])
-    found = probe.join(index, ["initial", "n", "part", "text"]).where("a < b").select("a", "b", "initial").distinct()
-    return _map(found, "a string, b string, initial string", lambda r: [r] if near(r[0], r[1]) else [])
+    keys = keys.where(F.length("surname") > 2)
+    index = _map(keys, "a string, initial string, k int, n int, part int, text string", lambda r: [(r[0], r[1], k, len(r[0]), i, t) for k in range(1, reach(r[0]) + 1) for i, t in segments(r[0], k)])
+    probe = _map(keys, "b string, initial string, k int, n int, part int, text string", lambda r: [(r[0], r[1], k, n, i, t) for k in range(1, reach(r[0]) + 1) for n, i, t in probes(r[0], k)])
+    found = probe.join(index, ["initial", "k", "n", "part", "text"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "initial").distinct()
+    return _map(found, "a string, b string, initial string", lambda r: [r] if close(r[0], r[1]) else [])
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -300,27 +341,30 @@ def persons(authors: DataFrame) -> DataFrame:
 
     def parse(r):
         s, g, m = read(r[1], r[2], r[3], given_names)
-        yield r[0], s, g, m, initial(g)
+        yield r[0], s, g, m, "".join(sorted(initials(g))), _FIRST.get(m[:1], m[:1]) or NONE
 
-    rows = stage_table(_map(authors, "author_id bigint, surname string, given string, middle string, initial string", parse), "names")
+    rows = stage_table(_map(authors, "author_id bigint, surname string, given string, middle string, initials string, second string", parse), "names")
     level = F.when((F.length("given") > 2) & (F.col("middle") != ""), 3).when(F.length("given") > 2, 2).otherwise(1)
     key = F.concat_ws("|", "surname", "given", "middle")
-    forms = stage_table(rows.where("surname <> ''").select(key.alias("form"), "surname", "given", "middle", "initial", level.alias("level")).distinct(), "forms")
+    forms = stage_table(rows.where("surname <> ''").select(key.alias("form"), "surname", "given", "middle", "initials", "second", level.alias("level")).distinct(), "forms")
+    keyed = forms.withColumn("initial", F.explode(F.split("initials", ""))).drop("initials")  # a short form may stand for names of two initials
 
-    pairs = stage_table(surname_pairs(forms), "pairs")
-    same = forms.select(F.col("surname").alias("a"), F.col("surname").alias("b"), "initial").distinct()
+    pairs = stage_table(surname_pairs(keyed), "pairs")
+    same = keyed.select(F.col("surname").alias("a"), F.col("surname").alias("b"), "initial").distinct()
     links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "initial")).unionByName(same)
-    side = lambda x: forms.select(*(F.col(c).alias(f"{x}_{c}") for c in ("form", "surname", "given", "middle", "level")), F.col("initial"))
+    side = lambda x: keyed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("form", "surname", "given", "middle", "second", "level")), F.col("initial"))
+    # a form with a middle name meets those with its initial and those without one; two of a kind meet once
+    other = side("y").withColumnRenamed("y_surname", "b").withColumn("second", F.explode(F.array_distinct(F.array("y_second", F.lit(NONE)))))
     near_by = (
-        side("x").withColumnRenamed("x_surname", "a").join(links, ["a", "initial"])
-        .join(side("y").withColumnRenamed("y_surname", "b"), ["b", "initial"]).where("x_form < y_form")
+        side("x").withColumnRenamed("x_surname", "a").withColumn("second", F.col("x_second")).join(links, ["a", "initial"])
+        .join(other, ["b", "initial", "second"]).where((F.col("x_form") < F.col("y_form")) | (F.col("x_second") == NONE) & (F.col("y_second") != NONE))
     )
     agreed = _map(
         near_by.select("x_form", "y_form", "a", "x_given", "x_middle", "b", "y_given", "y_middle", "x_level", "y_level"),
         "a string, b string, a_level int, b_level int",
         lambda r: [(r[0], r[1], r[8], r[9])] if agree((r[2], r[3], r[4]), (r[5], r[6], r[7]), given_names) else [],
     )
-    agreed = stage_table(agreed, "agreed")
+    agreed = stage_table(agreed.distinct(), "agreed")
 
     person = stage_table(components(forms.where("level = 3").select("form"), agreed.where("a_level = 3 and b_level = 3")), "persons")
     for lower in (2, 1):

@@ -293,12 +293,32 @@ def test_misspelt_given_names_are_no_names_of_their_own(spark):
 
 def test_segment_join_misses_no_pair(spark):
     rng = random.Random(8)
-    words = {"".join(rng.choice("абвгд") for _ in range(rng.randrange(4, 9))) for _ in range(300)}
+    words = {"".join(rng.choice("абвгд") for _ in range(rng.randrange(2, 11))) for _ in range(300)}
+    for w in sorted(words)[::3]:
+        i, j = rng.randrange(len(w)), rng.randrange(len(w))
+        words |= {w[:i] + "е" + w[i:], (w[:j] + w[j + 1 :])[:i] + "е" + (w[:j] + w[j + 1 :])[i:]}
+    words.discard("")
     rows = [(w, "и") for w in words] + [("", "и"), ("абвгдеж", "")]
     df = spark.createDataFrame(rows, "surname string, initial string")
     got = {(r["a"], r["b"]) for r in names.surname_pairs(df).collect()}
-    long = sorted(w for w in words if len(w) > 4)
-    assert got == {(a, b) for i, a in enumerate(long) for b in long[i + 1 :] if names.near(a, b)}
+    long = sorted(w for w in words if len(w) > 2)
+    want = {(a, b) for i, a in enumerate(long) for b in long[i + 1 :] if names.close(a, b)}
+    assert got == want and any(names.edits(a, b, 2) == 2 and not names.near(a, b) for a, b in want)
+
+
+def test_hard_spellings_meet(spark):
+    rows = [
+        ("Лис", "Анна", "Петровна"), ("Лиз", "Анна", "Петровна"), ("Лис", "Алла", "Петровна"),  # short surnames with one edit
+        ("Месифаков", "Богдан", "Эдуардович"), ("Месифакооов", "Богдан", "Эдуардович"), ("Месифаков", "Б.", "Э."),  # two edits
+        ("Стадедов", "Николай", "Дмитриевич"), ("Стадедов", "Нигалай", "Дмитриевич"), ("Стадедов", "Н", "Д"),
+        ("Kladahakev", "Pjotr", "Dmitrievich"), ("Кладахакев", "Пётр", "Дмитриевич"),
+        ("Дегинская", "Ксения", "Дмитриевна"), ("Дегинская", "Ксюша", "Дмитриевна"), ("Дегинская", "Оксана", "Дмитриевна"),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "author_id long, last_name string, first_name string, middle_name string")
+    of = {r["author_id"]: r["person"] for r in names.persons(df).collect()}
+    assert of[0] == of[1] != of[2]
+    assert of[3] == of[4] == of[5] and of[6] == of[7] == of[8] and of[9] == of[10]
+    assert of[11] == of[12]
 
 
 def test_components(spark):
