@@ -1,12 +1,12 @@
 """Problem 9: documents that are mostly link lists, tag lists, menus or stuffed keywords.
 
 A text is cut into units (lines; long lines at sentence ends).  A hidden Markov model labels each
-unit prose, reference (bibliographies, contents, glossaries: no spam), link list, tag list or menu
-/ stuffed phrases.  A unit emits three things: a layout symbol, a level of repetition (how often
+unit prose, reference (bibliographies, contents, glossaries: no spam), link list, tag list, menu or
+stuffed phrases.  A unit emits three things: a layout symbol, a level of repetition (how often
 the most frequent pair of content words recurs around it) and its words.  The model starts from
 layout rules on a bounded sample and is then re-estimated on that sample by Viterbi training, so
 that words carry the labels to units the rules can't tell.  A document is flagged when more than
-half of its characters lie in units of the last three labels.
+half of its characters lie in units of the last four labels.
 
 Nulls and edges: a NULL, empty or blank text is never flagged; repeated rows give one
 result; an empty table gives no rows.  Whole texts are labelled; only the training sample
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from loomlex.session import ship_package, spread, table
 
-PROSE, REFERENCE, LINK, TAG, MENU = range(5)
-STATES = 5
+PROSE, REFERENCE, LINK, TAG, MENU, STUFFED = range(6)
+STATES = 6
 SAMPLE = 5_000
 SAMPLE_CHARS = 20_000
 ROUNDS = 3
@@ -35,11 +35,9 @@ ROUNDS = 3
 VOCABULARY = 40_000
 WINDOW = 60
 #: Weight of the overall word shares in those of a state, in words.
-PRIOR_WORDS = 200
+PRIOR_WORDS = 1_000
 #: Words of a unit that count in full.
-UNIT_WORDS = 12
-#: Texts with fewer words are prose whatever their layout.
-LEAST_WORDS = 6
+UNIT_WORDS = 6
 
 _CUT = re.compile(r"(?<=[.!?…])\s+(?=[\"«“(\[]?[^\W\d_a-zа-яёіїєґ])")
 _URL = re.compile(r"https?://|www\.|href=|\]\(")
@@ -138,8 +136,10 @@ def seed(symbols: list[int], levels: list[int], words: list[list[str]]) -> list[
             out.append(LINK)
         elif s == HASH or (s == COMMAS and level >= 1):
             out.append(TAG)
-        elif level == 3 or s == SEPARATED:
+        elif s == SEPARATED:
             out.append(MENU)
+        elif level == 3:
+            out.append(STUFFED)
         elif s in (NUMBERED, DEFINITION, LABEL):
             out.append(REFERENCE)
         elif s == SHORT and shorts >= 6 and shorts > 0.8 * len(symbols):
@@ -167,7 +167,7 @@ class Model:
                 if y >= 0:
                     symbol[y, s] += 1
                     level[y, v] += 1
-                    for w in ws:
+                    for w in set(ws):  # a phrase repeated in a unit tells its words once
                         counts.setdefault(w, [0] * STATES)[y] += 1
                     if last >= 0:
                         move[last, y] += 1
@@ -234,8 +234,6 @@ def label(model: Model, text: str | None, bare: Words) -> tuple[list[int], list[
     lengths, symbols, levels, words = features(text, bare)
     if not lengths:
         return [], []
-    if sum(map(len, words)) < LEAST_WORDS:  # too short to enumerate anything
-        return lengths, [PROSE] * len(lengths)
     return lengths, model.path(model.emissions(symbols, levels, words))
 
 
@@ -267,7 +265,7 @@ def line_shares(docs: DataFrame, key: str = "doc_id", text: str = "text", model:
     ship_package(docs.sparkSession)
     model = model or train(sample_texts(docs, text, key))
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY words
-    names = ("prose", "reference", "link", "tag", "menu")
+    names = ("prose", "reference", "link", "tag", "menu", "stuffed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, bare = held.value, Words()

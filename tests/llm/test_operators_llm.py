@@ -490,10 +490,12 @@ def test_spam_and_prose():
     tags = lambda: " ".join(f"#купить_{rng.choice(goods)}" for _ in range(30))
     menu = lambda: "\n".join(f"купить {rng.choice(goods)} цена" for _ in range(20))
     books = lambda: "\n".join(f"{i}. Петров П. Рынок и политика // Журнал. 20{10 + i}. № 1. С. 5." for i in range(1, 9))
-    kinds = (prose, prose, prose, links, tags, menu, books)
+    phrases = lambda: " ".join(f"{rng.choice(['рыночная агломерация', 'городской транспорт', 'кредитный аудит'])}{rng.choice(['', '.', ','])}" for _ in range(60))
+    kinds = (prose, prose, prose, links, tags, menu, books, phrases)
     model = spam.train([k() for k in kinds for _ in range(40)])
     bare = spam.Words()
     share = lambda t: spam.spam_share(*spam.label(model, t, bare))
-    assert max(share(prose()) for _ in range(20)) < 0.5 < min(share(k()) for k in (links, tags, menu) for _ in range(10))
+    assert max(share(prose()) for _ in range(20)) < 0.5 < min(share(k()) for k in (links, tags, menu, phrases) for _ in range(10))
+    assert share("купить диван") < 0.5 < share("\n".join(["[диван](https://a.example/p/1)"] * 2))  # short texts are labelled like any other
     assert share(books()) < 0.5 and share(prose() + "\n\n" + links().split("\n")[0]) < 0.5
     assert share(None) == share("") == share(" \n ") == share(".") == 0.0
