@@ -2,11 +2,17 @@
 
 Word-first backoff: a known word is scored by its log frequency in each language; an unseen word
 falls back to its character 4-grams, then to 3-, 2- and 1-grams, until enough of them are known.
-A sentence takes the language with the greatest sum, neighbouring sentences of one language make
-a stretch, and its confidence is the posterior of that language.  Counts are fitted on a bounded
-sample of labelled bodies, once by their labels and again by the sentences' own languages, which
-takes out wrong labels and mixed bodies.  A sentence of which hardly any word is known is read
-again after undoing wrong decodings.
+A sentence takes the language with the greatest sum; neighbouring sentences of one language make
+a stretch.  A sentence of which hardly any word is known is read again after undoing wrong decodings.
+
+*Confidence.*  Words of a sentence aren't independent, so their sum is divided by a temperature, fitted
+so that the posteriors of short pieces of held-out sentences have the least log loss.  The
+confidence of a stretch is the mean tempered posterior of its language over its words: the share of
+the stretch that is expected to be in that language.
+
+*Fit.*  Counts come from a bounded sample of bodies (``SAMPLE``, the first ``SAMPLE_CHARS`` characters of
+each), once by their labels and again by the sentences' own languages, which takes out wrong labels
+and mixed bodies; words that look garbled aren't counted.  Every body is read whole afterwards, and may have any number of languages.
 
 Nulls and edges: NULL and blank bodies are no cases; a body without a readable sentence takes the
 language of its title and abstract; repeated rows of an article are one article; a NULL
@@ -19,13 +25,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlex.llm.mojibake import CHAINS, undo
+from loomlex.llm.mojibake import CHAINS, undo, usual
 from loomlex.session import blank, ship_package, spread, table
 
 LANGUAGES = ("ru", "en", "uk", "de", "fr")
@@ -35,6 +42,8 @@ SAMPLE, SAMPLE_CHARS = 4_000, 3_000
 WORDS, GRAMS = 60_000, 60_000
 CACHE = 300_000
 LEAST_WORDS = 4
+#: Words of a piece and temperatures tried when confidence is calibrated; one row in HELD_OUT is kept for it.
+PIECE, TEMPERATURES, HELD_OUT = 3, (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0), 5
 
 _JOIN = re.compile(r"[-‐¬­]\s*\n\s*(?=[^\W\d_A-ZА-ЯЁІЇЄҐ])")
 _END = re.compile(r"(?<=[.!?…])[»”\"’)\]]*\s+(?=[«“\"„(\[]*[A-ZА-ЯЁІЇЄҐÀ-ÖØ-Þ])|\n\s*\n")
@@ -95,8 +104,8 @@ def _grams(word: str, sizes: tuple[int, ...] = (1, 2, 3, 4)) -> list[str]:
 class Scorer:
     """Rows of log scores by token; row 0 is for tokens without letters."""
 
-    def __init__(self, words: dict[str, list[float]], grams: dict[str, list[float]]) -> None:
-        self.known, self.grams = words, grams
+    def __init__(self, words: dict[str, list[float]], grams: dict[str, list[float]], temperature: float = 1.0) -> None:
+        self.known, self.grams, self.temperature = words, grams, temperature
         self.reset()
 
     def reset(self) -> None:
@@ -125,6 +134,11 @@ class Scorer:
                 return [sum(col) / len(found) for col in zip(*found)]
         return [0.0] * L
 
+    def sums(self, parts: list[str]) -> np.ndarray | None:
+        """Sums of the scores of each part, a row for each."""
+        rows = [[self.rows[self.ids[t] if t in self.ids else self._id(t)] for t in p.split()] for p in parts]
+        return np.array([np.sum(r, 0) if r else np.zeros(L) for r in rows]) if rows else None
+
     def languages(self, parts: list[str]) -> list[tuple[int, float, int, float]]:
         """(language, confidence, words, share of known words) of each part; language -1 for none."""
         if len(self.rows) > CACHE:
@@ -154,7 +168,7 @@ class Scorer:
                 out.append((-1, 0.0, 0, 0.0))
                 continue
             best = int(s.argmax())
-            out.append((best, float(1 / np.exp(np.maximum(s - s[best], -50.0)).sum()), c, k))
+            out.append((best, float(1 / np.exp(np.maximum((s - s[best]) / self.temperature, -50.0)).sum()), c, k))
         return out
 
 
@@ -187,29 +201,72 @@ def segments(scorer: Scorer, text: str) -> list[tuple[int, int, int, float, int]
             continue
         if out and out[-1][2] == lang:
             out[-1][1] = at + len(s)
-            out[-1][3] = max(out[-1][3], sure)
+            out[-1][3] += sure * n
             out[-1][4] += 1
+            out[-1][5] += n
         else:
-            out.append([at, at + len(s), lang, sure, 1])
-    return [tuple(x) for x in out]
+            out.append([at, at + len(s), lang, sure * n, 1, n])
+    return [(a, e, lang, sure / n, many) for a, e, lang, sure, many, n in out]
+
+
+@lru_cache(maxsize=CACHE)
+def countable(token: str) -> str:
+    """The bare word of a token; '' for none, and for one that looks garbled, lest garbled words become known."""
+    w = token.lower().strip(_STRIP)
+    return w if w and usual(w) else ""
+
+
+def bare_words(text: str) -> list[str]:
+    return [w for t in text.split() if (w := countable(t))]
+
 
+def clear_sentences(scorer: Scorer, text: str) -> Iterator[tuple[str, int]]:
+    """(sentence, language) of the sentences that leave no doubt."""
+    cut = [s for _, s in sentences(text)]
+    for s, (lang, sure, n, known) in zip(cut, scorer.languages(cut)):
+        if n >= LEAST_WORDS and sure > 0.99 and known > 0.6 and "�" not in s and "??" not in s:
+            yield s, lang
 
-def fit(rows: list[tuple[str, str]]) -> tuple[dict, dict]:
+
+def calibrate(scorer: Scorer, truth: list[tuple[str, int]]) -> tuple[float, float, float]:
+    """(temperature, log loss at 1, log loss at that temperature) on pieces of sentences of known language."""
+    pieces, right = [], []
+    for s, lang in truth:
+        words = s.split()
+        for i in range(0, len(words) - PIECE + 1, PIECE):
+            pieces.append(" ".join(words[i : i + PIECE]))
+            right.append(lang)
+    sums = scorer.sums(pieces)
+    if sums is None:
+        return 1.0, 0.0, 0.0
+
+    def loss(t: float) -> float:
+        x = (sums - sums.max(1, keepdims=True)) / t
+        return float((np.log(np.exp(x).sum(1)) - x[np.arange(len(right)), right]).mean())
+
+    best = min(TEMPERATURES, key=loss)
+    return best, loss(1.0), loss(best)
+
+
+def fit(rows: list[tuple[str, str]]) -> tuple[dict, dict, float]:
     """Model of (text, label) rows; labels other than one language only join the second round."""
-    first = Counts()
     texts = [join_lines(t) for t, _ in rows]
-    words = lambda s: [w for t in s.split() if (w := t.lower().strip(_STRIP))]
+    first = Counts()
     for t, (_, label) in zip(texts, rows):
         if label in LANGUAGES:
-            first.add(words(t), LANGUAGES.index(label))
+            first.add(bare_words(t), LANGUAGES.index(label))
     scorer = Scorer(*first.model())
-    second = Counts()
-    for t in texts:
-        cut = [s for _, s in sentences(t)]
-        for s, (lang, sure, n, known) in zip(cut, scorer.languages(cut)):
-            if n >= LEAST_WORDS and sure > 0.99 and known > 0.6 and "�" not in s and "??" not in s:
-                second.add(words(s), lang)
-    return second.model()
+    second, kept = Counts(), []
+    for i, t in enumerate(texts):
+        for s, lang in clear_sentences(scorer, t):
+            if i % HELD_OUT:
+                second.add(bare_words(s), lang)
+            else:
+                kept.append((s, lang))
+    temperature, _, _ = calibrate(Scorer(*second.model()), kept)
+    for s, lang in kept:
+        second.add(bare_words(s), lang)
+    return *second.model(), temperature
 
 
 def label_of(c):
@@ -220,12 +277,12 @@ def label_of(c):
     return F.when(good, F.array_join(parts, "-"))
 
 
-def _fit_from(spark: SparkSession, d: str) -> tuple[dict, dict]:
+def _fit_from(spark: SparkSession, d: str) -> tuple[dict, dict, float]:
     text = table(spark, d, "article_text").where(~blank(F.col("body_text")))
-    n = text.count()
-    part = text.where(F.pmod(F.xxhash64("text_id"), F.lit(max(1, n // SAMPLE))) == 0).select("article_id", F.substring("body_text", 1, SAMPLE_CHARS).alias("body"))
+    picked = text.select("text_id").orderBy(F.xxhash64("text_id"), "text_id").limit(SAMPLE).distinct()
+    part = text.join(F.broadcast(picked), "text_id", "left_semi").dropDuplicates(["text_id"]).select("article_id", F.substring("body_text", 1, SAMPLE_CHARS).alias("body"))  # at most SAMPLE ids
     labels = table(spark, d, "article_metadata").groupBy("article_id").agg(F.min(label_of(F.col("language"))).alias("label"))
-    return fit([(r[0], r[1]) for r in part.join(labels, "article_id", "left").select("body", "label").limit(2 * SAMPLE).collect()])
+    return fit([(r[0], r[1]) for r in part.join(labels, "article_id", "left").orderBy("article_id", "body").select("body", "label").collect()])
 
 
 def _segments_frame(spark: SparkSession, d: str) -> DataFrame:
@@ -252,21 +309,21 @@ def _segments_frame(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Languages of every body that is in two, or whose label is missing or not right."""
+    """Languages of every body that is in two or more, or whose label is missing or not right."""
     by_text = _segments_frame(spark, d).where("article_id is not null").groupBy("article_id", "text_id", "lang").agg(F.sum("sentences").alias("n"))
     by_article = by_text.groupBy("article_id").agg(*(F.max(F.when(F.col("lang") == x, F.col("n"))).alias(x) for x in LANGUAGES))
     counts = F.array(*(F.struct((-F.col(x)).alias("n"), F.lit(x).alias("lang")) for x in LANGUAGES))
     ranked = F.array_sort(F.filter(counts, lambda s: s["n"].isNotNull()))
     whole = F.filter(ranked, lambda s: s["n"] <= -2)
     # a body of one sentence has the language of that sentence
-    langs = F.transform(F.when(F.size(whole) > 0, F.slice(whole, 1, 2)).otherwise(F.slice(ranked, 1, 1)), lambda s: s["lang"])
+    langs = F.transform(F.when(F.size(whole) > 0, whole).otherwise(F.slice(ranked, 1, 1)), lambda s: s["lang"])
     bodies = by_article.select("article_id", langs.alias("langs")).withColumn("own", F.array_join(F.array_sort("langs"), "-"))
     label = label_of(F.col("language"))
     labels = table(spark, d, "article_metadata").groupBy("article_id").agg(
         F.min(label).alias("least"), F.max(label).alias("most"), F.bool_or(label.isNull()).alias("missing"))
     both = bodies.join(labels, "article_id", "left")
     right = ~F.coalesce("missing", F.lit(True)) & (F.col("least") == F.col("own")) & (F.col("most") == F.col("own"))
-    return both.where((F.size("langs") == 2) | ~F.coalesce(right, F.lit(False))).select("article_id", F.explode("langs").alias("lang"))
+    return both.where((F.size("langs") > 1) | ~F.coalesce(right, F.lit(False))).select("article_id", F.explode("langs").alias("lang"))
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:

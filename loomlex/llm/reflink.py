@@ -1,9 +1,9 @@
 """Problem 4: free-entered affiliations and cities mapped to reference lists, in SQL only.
 
 Both sides are normalised (case, blanks, look-alike letters, punctuation); a value gives all runs
-of up to ``SPAN`` of its words, a reference entry all forms in which it is usually written.  Forms
-that a run equals are found by an equality join.  Values without one go on to a partition-based
-pigeonhole join: a form that may be k edits away is cut into k+1 segments, one of which must occur
+of as many words as the longest form has, a reference entry all forms in which it is usually written.  Forms
+that a run equals are found by an equality join.  Values without one, or with short names only, go
+on to a partition-based pigeonhole join: a form that may be k edits away is cut into k+1 segments, one of which must occur
 unchanged in the value at a place shifted by at most k; the substrings of the value at those places
 join the segments on (k, length, segment number, text), ``levenshtein`` verifies, and values that
 no form verifies are reported with 0 through an anti-join.
@@ -23,9 +23,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomlex.session import stage_table, table
 
-#: Most words of a run, and most edits.
-SPAN = 9
-
 #: Latin letters that look like Cyrillic ones, in small letters.
 LATIN, LOOKS = "aceopxyktmhbi", "асеорхуктмнві"
 #: Cyrillic letters in Latin ones, those of one letter each, then the others.
@@ -52,7 +49,12 @@ def _latin(c: str) -> str:
 
 
 def _initials(words: str) -> str:
-    return f"concat(element_at({words}, 1), ' ', array_join(transform(slice({words}, 2, 20), w -> left(w, 1)), ''))"
+    return f"concat(element_at({words}, 1), ' ', array_join(transform({_rest(words)}, w -> left(w, 1)), ''))"
+
+
+def _rest(words: str) -> str:
+    """All words but the first."""
+    return f"slice({words}, 2, greatest(size({words}) - 1, 0))"
 
 
 ORG_FORMS = f"""
@@ -63,8 +65,8 @@ WITH r AS (
   WHERE o.org_id IS NOT NULL)
 SELECT DISTINCT ref_id, city_id, kind, form, k FROM (
   SELECT ref_id, city_id, 'name' AS kind, array_join(w, ' ') AS form, 2 AS k FROM r
-  UNION ALL SELECT ref_id, city_id, 'name', concat_ws(' ', array_join(slice(w, 2, 20), ' '), w[0]), 2 FROM r
-  UNION ALL SELECT ref_id, city_id, 'place', concat(array_join(slice(w, 2, 20), ' '), ' ', city), 2 FROM r WHERE city <> ''
+  UNION ALL SELECT ref_id, city_id, 'name', concat_ws(' ', array_join({_rest('w')}, ' '), w[0]), 2 FROM r
+  UNION ALL SELECT ref_id, city_id, 'place', concat(array_join({_rest('w')}, ' '), ' ', city), 2 FROM r WHERE city <> ''
   UNION ALL SELECT ref_id, city_id, 'latin', en, 2 FROM r
   UNION ALL SELECT ref_id, city_id, 'initials', {_initials('w')}, 1 FROM r WHERE size(w) > 2
   UNION ALL SELECT ref_id, city_id, 'acronym', concat(short, ' ', city), 1 FROM r WHERE short <> '' AND city <> ''
@@ -90,11 +92,11 @@ WITH v AS (
   SELECT id, lower(value) rlike '[а-я]\\\\.|[а-я]-[трл]([^а-я]|$)' AS short_written,
          filter(split({_norm('value')}, ' '), w -> NOT w IN ('', 'г', 'гор', 'город')) AS w
   FROM {{vals}}),
-s AS (SELECT id, short_written, slice(w, i, n) AS p FROM v LATERAL VIEW explode(sequence(1, size(w))) a AS i LATERAL VIEW explode(sequence(1, least({SPAN}, size(w) - i + 1))) b AS n WHERE size(w) > 0)
+s AS (SELECT id, short_written, slice(w, i, n) AS p FROM v LATERAL VIEW explode(sequence(1, size(w))) a AS i LATERAL VIEW explode(sequence(1, least({{span}}, size(w) - i + 1))) b AS n WHERE size(w) > 0)
 SELECT DISTINCT id, kind, q FROM (
   SELECT id, kind, array_join(p, ' ') AS q FROM s LATERAL VIEW explode(if(size(p) = 1, array('short'), array('name', 'place', 'acronym'))) a AS kind
   UNION ALL SELECT id, 'latin', {_latin("array_join(p, ' ')")} FROM s WHERE size(p) > 2 AND NOT array_join(p, '') rlike '[а-яіїєґ]'
-  UNION ALL SELECT id, 'initials', {_initials('p')} FROM s WHERE short_written AND size(p) BETWEEN 3 AND 6
+  UNION ALL SELECT id, 'initials', {_initials('p')} FROM s WHERE short_written AND size(p) > 2
 )
 """
 
@@ -139,10 +141,11 @@ def _shifted(spark: SparkSession, runs: DataFrame) -> DataFrame:
 
 
 def match(spark: SparkSession, runs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, ref_id, city_id, kind, dist) of all verified pairs; fuzzy ones only for values without an exact one."""
+    """(id, ref_id, city_id, kind, dist) of all verified pairs; fuzzy ones only for values without an exact one
+    or with short names only, which a misspelt full name may hold by chance."""
     runs, forms = stage_table(runs, "runs"), stage_table(forms, "forms")
     exact = stage_table(spark.sql(EXACT, runs=runs, forms=forms), "exact")
-    left = spark.sql("SELECT r.* FROM {runs} r LEFT ANTI JOIN {exact} e ON r.id = e.id", runs=runs, exact=exact)
+    left = spark.sql("SELECT r.* FROM {runs} r LEFT ANTI JOIN (SELECT id FROM {exact} WHERE kind <> 'short') e ON r.id = e.id", runs=runs, exact=exact)
     fuzzy = spark.sql(FUZZY, runs=_shifted(spark, left), forms=forms)
     return exact.unionByName(fuzzy)
 
@@ -168,8 +171,9 @@ def link_cities(spark: SparkSession, values: DataFrame, cities: DataFrame) -> Da
 
 def link_organisations(spark: SparkSession, values: DataFrame, orgs: DataFrame, cities: DataFrame, towns: DataFrame) -> DataFrame:
     """(id, ref_id) for ``values`` (id, value); ``towns`` (id, ref_id) are the values' cities."""
-    forms = spark.sql(ORG_FORMS, orgs=orgs, cities=cities)
-    found = match(spark, spark.sql(ORG_RUNS, vals=values), forms)
+    forms = stage_table(spark.sql(ORG_FORMS, orgs=orgs, cities=cities), "organisations")
+    span = spark.sql("SELECT coalesce(max(size(split(form, ' '))), 1) AS n FROM {forms} WHERE kind <> 'initials'", forms=forms).collect()[0][0]
+    found = match(spark, spark.sql(ORG_RUNS, vals=values, span=span), forms)
     return spark.sql(
         """
         WITH c AS (

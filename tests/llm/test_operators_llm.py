@@ -246,6 +246,28 @@ def test_languages_of_sentences():
     assert of("") == [] and of("12 34 ...") == [] and of("???? ?????? ???? ????.") == []
 
 
+def test_a_body_of_three_languages_and_confidence(spark, tmp_path):
+    rows = [(t, k) for t, k in ((RU, "ru"), (EN, "en"), (DE, "de"), (FR, "fr"), (UK, "uk")) for _ in range(20)]
+    texts = [(i, i, "", "", "", t, None, None) for i, (t, _) in enumerate(rows)] + [(500, 500, "", "", "", f"{RU} {EN} {DE}", None, None)]
+    spark.createDataFrame(texts, "text_id long, article_id long, title_text string, abstract_text string, keywords_text string, body_text string, created_at timestamp, updated_at timestamp").write.parquet(str(tmp_path / "article_text.parquet"))
+    labels = [(i, k) for i, (_, k) in enumerate(rows)] + [(500, "ru-en")]
+    spark.createDataFrame(labels, "article_id long, language string").write.parquet(str(tmp_path / "article_metadata.parquet"))
+    assert sorted(r["lang"] for r in language.p1_found(spark, str(tmp_path)).collect()) == ["de", "en", "ru"]
+    s = language.Scorer(*language.fit(rows))
+    truth = [(t, language.LANGUAGES.index(k)) for t, k in rows]
+    best, at_one, at_best = language.calibrate(s, truth)
+    assert best in language.TEMPERATURES and at_best <= at_one
+    s.temperature = 40.0
+    whole = language.segments(s, f"{RU} {EN}")
+    assert [language.LANGUAGES[x[2]] for x in whole] == ["ru", "en"] and all(0.2 <= x[3] < 1 for x in whole)
+
+
+def test_garbled_words_never_become_known():
+    bad = mojibake.damage(9, RU)
+    words, _, _ = language.fit([(t, k) for t, k in ((RU, "ru"), (EN, "en"), (DE, "de"), (FR, "fr"), (UK, "uk"), (bad, "de")) for _ in range(10)])
+    assert "рынок" in words and "beschäftigung" in words and not set(bad.lower().split()) & set(words)
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(x,) for x in (" RU", "en-ru", "ru-en", "русский", "ru-ru", "ru-en-de", "", None, "-")], "l string")
     assert [r[0] for r in df.select(language.label_of(F.col("l"))).collect()] == ["ru", "en-ru", "en-ru", None, None, None, None, None, None]
@@ -496,6 +518,6 @@ def test_spam_and_prose():
     bare = spam.Words()
     share = lambda t: spam.spam_share(*spam.label(model, t, bare))
     assert max(share(prose()) for _ in range(20)) < 0.5 < min(share(k()) for k in (links, tags, menu, phrases) for _ in range(10))
-    assert share("купить диван") < 0.5 < share("\n".join(["[диван](https://a.example/p/1)"] * 2))  # short texts are labelled like any other
+    assert share("Анализ занятости.") < 0.5 < share("\n".join(["[диван](https://a.example/p/1)"] * 2))  # short texts are labelled like any other
     assert share(books()) < 0.5 and share(prose() + "\n\n" + links().split("\n")[0]) < 0.5
     assert share(None) == share("") == share(" \n ") == share(".") == 0.0
