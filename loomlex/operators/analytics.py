@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlex.functions import text as T
+from loomlex.session import broadcast_if_small
 
 #: L1: orders of a comparison.
 SORTS = {
@@ -23,14 +24,39 @@ def scope(df: DataFrame, ids: DataFrame | None) -> DataFrame:
     return df if ids is None else df.join(ids.select("article_id"), "article_id", "left_semi")
 
 
-def frequency(term_counts: DataFrame, mode: str = "all", scripts: str = "exclude_latin", lemma: bool = False) -> DataFrame:
-    """(label, count) over the sections but references (AGG1, AGG2).
+def counted(sentences: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(label, count) of normalised words of the articles in ``ids``, outside references: one aggregation."""
+    own = scope(sentences.where("section <> 'references'"), ids)
+    return own.select(F.explode("norms").alias("label")).where("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+
+
+def as_lemmas(counts: DataFrame, lexicon: DataFrame, *columns: str) -> DataFrame:
+    """Counts by form added up by lemma; forms without an entry are their own."""
+    listed = broadcast_if_small(lexicon.select(F.col("form").alias("label"), "lemma"))
+    out = counts.join(listed, "label", "left").groupBy(F.coalesce("lemma", "label").alias("label"))
+    return out.agg(*(F.sum(c).alias(c) for c in columns or ("count",)))
+
+
+def frequency(sentences: DataFrame, ids: DataFrame | None = None, mode: str = "all", scripts: str = "exclude_latin", lexicon: DataFrame | None = None) -> DataFrame:
+    """(label, count) of words, or of lemmas when a lexicon is given (AGG1, AGG2).
 
     Labels are counted first and judged after: the predicate depends only on the label and then
     runs once a label instead of once a token.
     """
-    label = T.modern_cyrillic(F.col("label")) if lemma else F.col("label")
-    counts = term_counts.where("section <> 'references'").groupBy(label.alias("label")).agg(F.sum("n").alias("count"))
+    counts = counted(sentences, ids)
+    if lexicon is not None:
+        counts = as_lemmas(counts, lexicon)
+    return counts.where(T.meaningful(F.col("label"), mode, scripts))
+
+
+def frequencies_of(sentences: DataFrame, left: DataFrame, right: DataFrame, mode: str = "all", scripts: str = "exclude_latin", lexicon: DataFrame | None = None) -> DataFrame:
+    """(label, left_count, right_count) of two scopes in one pass over the sentences (AGG5, AGG6)."""
+    sides = left.select("article_id", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("article_id", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    sides = sides.groupBy("article_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    own = sentences.where("section <> 'references'").join(sides, "article_id").select("l", "r", F.explode("norms").alias("label")).where("label is not null")
+    counts = own.groupBy("label").agg(F.sum("l").alias("left_count"), F.sum("r").alias("right_count"))
+    if lexicon is not None:
+        counts = as_lemmas(counts, lexicon, "left_count", "right_count")
     return counts.where(T.meaningful(F.col("label"), mode, scripts))
 
 
@@ -40,44 +66,50 @@ def top(counts: DataFrame, n: int | None = None, query: str | None = None) -> Da
     return out if n is None else out.limit(n)
 
 
-def bigrams(sentences: DataFrame, mode: str = "all", scripts: str = "exclude_latin", lemma: bool = False) -> DataFrame:
-    """(label, count, first_at) of neighbouring accepted words of a sentence (AGG4, W1, W2).
+def bigrams(sentences: DataFrame, mode: str = "all", scripts: str = "exclude_latin", lexicon: DataFrame | None = None) -> DataFrame:
+    """(label, count, first_at) of neighbouring accepted words, or their lemmas, of a sentence (AGG4, W1, W2).
 
     A token that isn't alphabetic, or that the filter rejects, breaks the chain.  ``first_at`` is the
     place of the first occurrence, the order of ties.  A sentence is one array, so pairs are built
-    without a window; the only shuffle is that of the counts, which are summed before it.
+    without a window.  Pairs of forms are counted first; lemmas and the filter follow once a pair.
     """
-    def label(x):
-        w = F.lower(x)
-        w = T.modern_cyrillic(w) if lemma else w
-        return F.when(x.rlike("^\\p{L}+$") & T.meaningful(w, mode, scripts), w)
-
-    s = sentences.where("section <> 'references' and size(tokens) > 1").select("article_id", "section_no", "sentence", F.transform("tokens", label).alias("w"))
-    pair = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.struct(i.alias("i"), F.concat(F.get("w", i), F.lit(" "), F.get("w", i + 1)).alias("label")))
-    flat = s.select("article_id", "section_no", "sentence", F.explode(F.filter(pair, lambda p: p["label"].isNotNull())).alias("p"))
-    return flat.groupBy(F.col("p.label").alias("label")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("article_id", "section_no", "sentence", F.col("p.i").alias("idx"))).alias("first_at"))
+    s = sentences.where("section <> 'references' and size(norms) > 1")
+    pair = F.transform(F.sequence(F.lit(0), F.size("norms") - 2), lambda i: F.struct(i.alias("i"), F.get("norms", i).alias("a"), F.get("norms", i + 1).alias("b")))
+    flat = s.select("article_id", "section_no", "sentence", F.explode(F.filter(pair, lambda p: p["a"].isNotNull() & p["b"].isNotNull())).alias("p"))
+    pairs = flat.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("article_id", "section_no", "sentence", F.col("p.i").alias("idx"))).alias("first_at"))
+    if lexicon is not None:
+        listed = broadcast_if_small(lexicon.select("form", "lemma"))
+        for c in ("a", "b"):
+            pairs = pairs.join(listed, pairs[c] == listed["form"], "left").withColumn(c, F.coalesce("lemma", c)).drop("form", "lemma")
+    good = T.meaningful(F.col("a"), mode, scripts) & T.meaningful(F.col("b"), mode, scripts)
+    return pairs.where(good).groupBy(F.concat_ws(" ", "a", "b").alias("label")).agg(F.sum("count").alias("count"), F.min("first_at").alias("first_at"))
 
 
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """Labels of both sides: left, right, shared (the less) and total (AGG5, J7, SET2)."""
-    a, b = left.select("label", F.col("count").alias("left_count")), right.select("label", F.col("count").alias("right_count"))
-    return a.join(b, "label").select("label", "left_count", "right_count", F.least("left_count", "right_count").alias("shared"), (F.col("left_count") + F.col("right_count")).alias("total"))
+    return shared_labels(left.select("label", F.col("count").alias("left_count")).join(right.select("label", F.col("count").alias("right_count")), "label"))
+
+
+def shared_labels(both: DataFrame) -> DataFrame:
+    """As :func:`compare` for counts that are side by side already."""
+    own = both.where("left_count > 0 and right_count > 0")
+    return own.select("label", "left_count", "right_count", F.least("left_count", "right_count").alias("shared"), (F.col("left_count") + F.col("right_count")).alias("total"))
 
 
 def order_comparison(df: DataFrame, sort: str = "shared_desc") -> DataFrame:
-    """L1."""
+    """L1; the order is total with the label."""
     return df.orderBy(*(F.desc(c) if way < 0 else F.asc(c) for c, way in SORTS.get(sort, SORTS["shared_desc"])))
 
 
-def page_bounds(offset: object, limit: object) -> tuple[int, int]:
-    """L3: offset at least 0, limit within bounds, defaults for what isn't a number."""
+def page_bounds(offset: object, limit: object, least: int = PAGE_LEAST, most: int = PAGE_MOST, default: int = PAGE) -> tuple[int, int]:
+    """L3, L4: offset at least 0, limit within bounds, defaults for what isn't a number."""
     def number(x, default):
         try:
             return int(x)
         except (TypeError, ValueError):
             return default
 
-    return max(0, number(offset, 0)), min(max(number(limit, PAGE), PAGE_LEAST), PAGE_MOST)
+    return max(0, number(offset, 0)), min(max(number(limit, default), least), most)
 
 
 def page(ordered: DataFrame, offset: object = 0, limit: object = PAGE) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlex.functions import text as T
-from loomlex.session import spread, table
+from loomlex.session import kept, spread, table
 
 
 def newest(df: DataFrame, key: str, by: str, tie: str) -> DataFrame:
@@ -31,9 +31,10 @@ def published(spark: SparkSession, d: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """Newest text of every article."""
+    """Newest text of every article, found once a session: the bodies of copies are dropped on narrow
+    columns, those that stay are written once and read by every later query."""
     raw = table(spark, d, "article_text")
-    return spread(newest(raw, "article_id", "updated_at", "text_id"), raw)
+    return kept(spark, d, ("article_text",), "texts", lambda: spread(newest(raw, "article_id", "updated_at", "text_id"), raw))
 
 
 def keyword_links(records: DataFrame) -> DataFrame:

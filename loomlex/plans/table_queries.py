@@ -110,7 +110,7 @@ def agg9_corpus_stats(spark, d):
 
 
 def agg9_corpus_tokens(spark, d):
-    return analytics.corpus_stats(catalog.articles(spark, d), _links(spark, d), index.text_sizes(catalog.texts(spark, d)))
+    return analytics.corpus_stats(catalog.articles(spark, d), _links(spark, d), index.text_sizes(index.sentence_table(spark, d)))
 
 
 def agg10_issue_counts(spark, d):
@@ -202,7 +202,7 @@ def agg20_subcorpus_totals(spark, d):
 
 
 def agg20_subcorpus_tokens(spark, d):
-    return subcorpus.totals(_members(spark, d), index.text_sizes(catalog.texts(spark, d)))
+    return subcorpus.totals(_members(spark, d), index.text_sizes(index.sentence_table(spark, d)))
 
 
 def flt11_candidates(spark, d):

@@ -65,6 +65,34 @@ def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple, tuple[str, object]] = {}
+
+
+def kept(spark: SparkSession, d: str, tables: tuple[str, ...], label: str, build, by: str | None = None) -> DataFrame:
+    """A table derived from ``tables`` below ``d``, staged once a session and read again while these stay as
+    they are (by size and time of change).
+
+    ``build()`` gives the table; with ``by`` it is written in folders of that column, for pruning.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def state(name: str) -> tuple[int, int]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        fs = at.getFileSystem(conf)
+        return fs.getContentSummary(at).getLength(), fs.getFileStatus(at).getModificationTime()
+
+    key = (spark.sparkContext.applicationId, label, d, *map(state, tables))
+    if key not in _KEPT:
+        df = build()
+        path = f"{shared_dir(spark)}/loomlex-{label}-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(path)
+        drop_at_exit(spark, path)
+        _KEPT[key] = path, df.schema
+    path, schema = _KEPT[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Remove the files at ``path`` when the driver process ends."""
 
