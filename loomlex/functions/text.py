@@ -211,9 +211,9 @@ def first_words(c: Column, n: int) -> Column:
 
 
 def split_name(c: Column) -> Column:
-    """'last first middle…' as typed by editors: struct of the three (SCL17)."""
-    w = F.split(squeeze(c), " ")
-    return F.struct(F.get(w, 0).alias("last_name"), text(F.get(w, 1)).alias("first_name"), F.array_join(F.slice(w, 3, 100), " ").alias("middle_name"))
+    """'last first middle…' as typed by editors: struct of the three; dots count as blanks (SCL17)."""
+    w = F.split(squeeze(F.replace(text(c), F.lit("."), F.lit(" "))), " ")
+    return F.struct(F.get(w, 0).alias("last_name"), text(F.get(w, 1)).alias("first_name"), F.array_join(F.slice(w, F.lit(3), F.greatest(F.size(w) - 2, F.lit(0))), " ").alias("middle_name"))
 
 
 def split_crawled_name(c: Column) -> Column:
@@ -256,9 +256,42 @@ def has_filters(p: Column) -> Column:
 
 
 def query_string(p: Column) -> Column:
-    """URL query of a flat map, keys in order (SCL27)."""
-    pairs = F.array_sort(F.map_entries(p))
-    return F.array_join(F.transform(pairs, lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")
+    """URL query of a map, keys in order; a value that is a JSON list gives its key once an entry (SCL27)."""
+    part = lambda k, v: F.concat(F.url_encode(k), F.lit("="), F.url_encode(v))
+    many = lambda v: F.when(F.startswith(v, F.lit("[")), F.from_json(v, "array<string>"))
+    pairs = F.transform(F.array_sort(F.map_entries(p)), lambda e: F.transform(F.coalesce(many(e["value"]), F.array(e["value"])), lambda v: part(e["key"], v)))
+    return F.array_join(F.flatten(pairs), "&")
+
+
+#: The upper half of Windows-1251 in order; byte 152 is open and stands for its control.
+CP1251 = "".join(bytes([b]).decode("cp1251") if b != 152 else chr(152) for b in range(128, 256))
+
+
+def repair_cp1251(c: Column) -> Column:
+    """Text whose UTF-8 bytes were read as Windows-1251; unchanged when that can't be (SCL22).
+
+    Every character is brought to the Latin-1 character of its byte, and the bytes are read as UTF-8.
+    """
+    good = ~c.rlike(f"[^\\x00-\\x7f{CP1251}]")
+    raw = F.encode(F.translate(F.when(good, c).otherwise(""), CP1251, "".join(map(chr, range(128, 256)))), "ISO-8859-1").cast("string")
+    return F.when(good & F.is_valid_utf8(raw), raw).otherwise(c)
+
+
+def truncate(c: Column, most: int = 220) -> Column:
+    """At most ``most`` characters, the last one an ellipsis where text was cut (SCL24)."""
+    return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 1)), F.lit("…"))).otherwise(c)
+
+
+def fingerprint(parts: Column) -> tuple[Column, ...]:
+    """Aggregates that tell a set of strings whatever its order, in constant space: number, exclusive or
+    and sum of 60-bit hashes (SCL34)."""
+    h = F.conv(F.substring(F.md5(parts), 1, 15), 16, 10).cast("long")
+    return F.count(parts).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("s")
+
+
+def signature(parts: Column) -> Column:
+    """SHA-1 of :func:`fingerprint`."""
+    return F.sha1(F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("")) for c in fingerprint(parts))))
 
 
 def title_rank(c: Column) -> Column:

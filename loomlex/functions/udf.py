@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 # The worker imports what these call, so that must not define UDFs itself.
-from loomlex.functions.cleaning import clean_body, cut_chunks, decode_upload, repair_cp1251, slugify
+from loomlex.functions.cleaning import article_slug, author_slug, clean_body, cut_chunks, decode_upload, slugify
 
 #: Types as objects: a type in words would need a session when the module is imported.
 CHUNK = S.StructType([S.StructField("text", S.StringType()), S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())])
@@ -25,11 +25,6 @@ def chunks_udf(text: pd.Series) -> pd.Series:
     return pd.Series([[{"text": t, "start": a, "end": b} for t, a, b in cut_chunks(x)] for x in text])
 
 
-@F.pandas_udf(S.StringType())
-def repair_cp1251_udf(value: pd.Series) -> pd.Series:
-    return value.map(repair_cp1251)
-
-
 @F.pandas_udf(S.StringType())
 def decode_upload_udf(data: pd.Series) -> pd.Series:
     return data.map(decode_upload)
@@ -38,3 +33,13 @@ def decode_upload_udf(data: pd.Series) -> pd.Series:
 @F.pandas_udf(S.StringType())
 def slug_udf(value: pd.Series) -> pd.Series:
     return value.map(slugify)
+
+
+@F.pandas_udf(S.StringType())
+def article_slug_udf(value: pd.Series) -> pd.Series:
+    return value.map(article_slug)
+
+
+@F.pandas_udf(S.StringType())
+def author_slug_udf(value: pd.Series) -> pd.Series:
+    return value.map(author_slug)

@@ -8,46 +8,51 @@ from pyspark.sql import functions as F
 from loomlex.functions import text as T
 
 #: Cities with country, latitude, longitude, region and the words that tell them.
-GAZETTEER = """
-Ижевск|Россия|56.852738|53.211489|Удмуртская Республика|ижевск;ижевский;ижевская;ижгту;удмуртский;удмуртская;удмуртнефтегеофизика;национальный банк по удмуртской республике;казначейства по удмуртской республике
-Сарапул|Россия|56.461611|53.803696|Удмуртская Республика|сарапул;сарапульский
-Глазов|Россия|58.140965|52.674417|Удмуртская Республика|глазов;глазовский
-Москва|Россия|55.755864|37.617698|Москва|москва;московский;мирэа;мисис;плеханова;рудн;российский университет дружбы;патриса лумумбы;виноградова;государственный институт русского языка;гаугн;государственный академический университет гуманитарных наук;ранхигс;российская академия народного хозяйства;внии центр;внии «центр»;фгуп внии;всероссийский научно-исследовательский институт центр
-Санкт-Петербург|Россия|59.938951|30.315635|Санкт-Петербург|санкт-петербург;санкт петербург;санкт-петербургский;санкт петербургский;петербург;петербургский;герцена;лэти
-Пушкин|Россия|59.721995|30.416771|Санкт-Петербург|ленинградский государственный университет им. а. с. пушкина
-Казань|Россия|55.796127|49.106405|Республика Татарстан|казань;казанский
-Кемерово|Россия|55.354968|86.087314|Кемеровская область|кемерово;кемеровский
-Красноярск|Россия|56.009466|92.852416|Красноярский край|красноярск;красноярский;сибирский государственный университет науки
-Курган|Россия|55.441004|65.341118|Курганская область|курган;курганский
-Луганск|Россия|48.574041|39.307815|Луганская Народная Республика|луганск;луганский
-Саранск|Россия|54.180761|45.186226|Республика Мордовия|саранск;мордовский
-Пермь|Россия|58.010455|56.229443|Пермский край|пермь;пермский
-Йошкар-Ола|Россия|56.634366|47.899970|Республика Марий Эл|йошкар-ола;поволжский государственный технологический университет
-Самара|Россия|53.195873|50.100193|Самарская область|самара;самарский;университет мир;поволжский государственный университет телекоммуникаций
-Уфа|Россия|54.735152|55.958736|Республика Башкортостан|уфа;уфимский;уфиц ран;институт социально-экономических исследований уфиц
-Екатеринбург|Россия|56.838011|60.597474|Свердловская область|екатеринбург;уральский федеральный;уральский государственный;уро ран
-Челябинск|Россия|55.159897|61.402554|Челябинская область|челябинск;челябинский
-Череповец|Россия|59.122612|37.903461|Вологодская область|череповец;череповецкий
-Вологда|Россия|59.220492|39.891568|Вологодская область|вологда;вологодский
-Сыктывкар|Россия|61.668797|50.836497|Республика Коми|сыктывкар;сыктывкарский
-Томск|Россия|56.484703|84.948173|Томская область|томск;томский
-Минск|Беларусь|53.902284|27.561831||минск;белорусский национальный
-Иджеван|Армения|40.878933|45.148700|Тавушская область|иджеван;иджеванский
-Ереван|Армения|40.177628|44.512546||ереван;ереванский государственный университет
-Дьер|Венгрия|47.687456|17.650397||дьер;дьере;университет святого иштвана
-Пула|Хорватия|44.866623|13.849579||пула;пулы
-Чжэнчжоу|Китай|34.746611|113.625328|Хэнань|чжэнчжоу;чжэнчжоуский
-"""
+GAZETTEER = (
+    ("Ижевск", "Россия", 56.852738, 53.211489, "Удмуртская Республика", ("ижевск", "ижевский", "ижевская", "ижгту", "удмуртский", "удмуртская", "удмуртнефтегеофизика", "национальный банк по удмуртской республике", "казначейства по удмуртской республике",)),
+    ("Сарапул", "Россия", 56.461611, 53.803696, "Удмуртская Республика", ("сарапул", "сарапульский",)),
+    ("Глазов", "Россия", 58.140965, 52.674417, "Удмуртская Республика", ("глазов", "глазовский",)),
+    ("Москва", "Россия", 55.755864, 37.617698, "Москва", ("москва", "московский", "мирэа", "мисис", "плеханова", "рудн", "российский университет дружбы", "патриса лумумбы", "виноградова", "государственный институт русского языка", "гаугн", "государственный академический университет гуманитарных наук", "ранхигс", "российская академия народного хозяйства", "внии центр", "внии «центр»", "фгуп внии", "всероссийский научно-исследовательский институт центр",)),
+    ("Санкт-Петербург", "Россия", 59.938951, 30.315635, "Санкт-Петербург", ("санкт-петербург", "санкт петербург", "санкт-петербургский", "санкт петербургский", "петербург", "петербургский", "герцена", "лэти",)),
+    ("Пушкин", "Россия", 59.721995, 30.416771, "Санкт-Петербург", ("ленинградский государственный университет им. а. с. пушкина",)),
+    ("Казань", "Россия", 55.796127, 49.106405, "Республика Татарстан", ("казань", "казанский",)),
+    ("Кемерово", "Россия", 55.354968, 86.087314, "Кемеровская область", ("кемерово", "кемеровский",)),
+    ("Красноярск", "Россия", 56.009466, 92.852416, "Красноярский край", ("красноярск", "красноярский", "сибирский государственный университет науки",)),
+    ("Курган", "Россия", 55.441004, 65.341118, "Курганская область", ("курган", "курганский",)),
+    ("Луганск", "Россия", 48.574041, 39.307815, "Луганская Народная Республика", ("луганск", "луганский",)),
+    ("Саранск", "Россия", 54.180761, 45.186226, "Республика Мордовия", ("саранск", "мордовский",)),
+    ("Пермь", "Россия", 58.010455, 56.229443, "Пермский край", ("пермь", "пермский",)),
+    ("Йошкар-Ола", "Россия", 56.634366, 47.89997, "Республика Марий Эл", ("йошкар-ола", "поволжский государственный технологический университет",)),
+    ("Самара", "Россия", 53.195873, 50.100193, "Самарская область", ("самара", "самарский", "университет мир", "поволжский государственный университет телекоммуникаций",)),
+    ("Уфа", "Россия", 54.735152, 55.958736, "Республика Башкортостан", ("уфа", "уфимский", "уфиц ран", "институт социально-экономических исследований уфиц",)),
+    ("Екатеринбург", "Россия", 56.838011, 60.597474, "Свердловская область", ("екатеринбург", "уральский федеральный", "уральский государственный", "уро ран",)),
+    ("Челябинск", "Россия", 55.159897, 61.402554, "Челябинская область", ("челябинск", "челябинский",)),
+    ("Череповец", "Россия", 59.122612, 37.903461, "Вологодская область", ("череповец", "череповецкий",)),
+    ("Вологда", "Россия", 59.220492, 39.891568, "Вологодская область", ("вологда", "вологодский",)),
+    ("Сыктывкар", "Россия", 61.668797, 50.836497, "Республика Коми", ("сыктывкар", "сыктывкарский",)),
+    ("Томск", "Россия", 56.484703, 84.948173, "Томская область", ("томск", "томский",)),
+    ("Минск", "Беларусь", 53.902284, 27.561831, "", ("минск", "белорусский национальный",)),
+    ("Иджеван", "Армения", 40.878933, 45.1487, "Тавушская область", ("иджеван", "иджеванский",)),
+    ("Ереван", "Армения", 40.177628, 44.512546, "", ("ереван", "ереванский государственный университет",)),
+    ("Дьер", "Венгрия", 47.687456, 17.650397, "", ("дьер", "дьере", "университет святого иштвана",)),
+    ("Пула", "Хорватия", 44.866623, 13.849579, "", ("пула", "пулы",)),
+    ("Чжэнчжоу", "Китай", 34.746611, 113.625328, "Хэнань", ("чжэнчжоу", "чжэнчжоуский",)),
+)
 #: Buckets of the activity histogram (least, label).
 BUCKETS = ((1, "1"), (2, "2–4"), (5, "5–9"), (10, "10–24"), (25, "25–99"), (100, "100+"))
 
 
+def upsert_cities(cities: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Listed cities as verified rows, one for each key and country, in place of those at hand."""
+    new = seeds.select(T.city_key(F.col("display_name")).alias("normalized_name"), "country", "display_name", "region", "latitude", "longitude", F.lit("gazetteer").alias("geocode_source"), F.lit(True).alias("is_verified"), F.lit(False).alias("needs_review"))
+    new = new.dropDuplicates(["normalized_name", "country"])
+    old = cities.select(*(F.col(c).cast(t).alias(c) for c, t in new.dtypes))
+    return old.join(new, ["normalized_name", "country"], "left_anti").select(*new.columns).unionByName(new)
+
+
 def gazetteer(spark: SparkSession) -> DataFrame:
     """The built-in cities with their aliases (SRC15, M19)."""
-    rows = []
-    for i, line in enumerate(GAZETTEER.strip().splitlines()):
-        name, country, lat, lon, region, aliases = line.split("|")
-        rows.append((i, name, country, float(lat), float(lon), region, aliases.split(";")))
+    rows = [(i, *row[:-1], list(row[-1])) for i, row in enumerate(GAZETTEER)]
     return spark.createDataFrame(rows, "seed int, display_name string, country string, latitude double, longitude double, region string, aliases array<string>")
 
 
@@ -56,32 +61,34 @@ def from_cities(cities: DataFrame) -> DataFrame:
     return cities.select(F.col("city_location_id").cast("int").alias("seed"), "display_name", "country", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), "region", F.array("normalized_name").alias("aliases"))
 
 
-def resolve(values: DataFrame, seeds: DataFrame, key: str, value: str, longest: int = 12) -> DataFrame:
+def resolve(values: DataFrame, seeds: DataFrame, key: str, value: str) -> DataFrame:
     """Best alias that stands in ``value`` between blanks: the longest, then the first listed.
 
-    An equality join on runs of words instead of a test of every value against every alias: a value
-    gives its runs of up to ``longest`` words (aliases have no more), aliases their keys.
-    Rows without a match come back with NULLs; equal values are resolved once.
+    The name of a city is its first alias.  An equality join on runs of words instead of a test of
+    every value against every alias: a value gives its runs of as many words as the longest alias has.
+    Rows without a match come back with NULLs; equal values are resolved once.  ``own_name`` tells
+    whether the alias is the city's name.
     """
-    alias = seeds.select("seed", "display_name", "country", F.posexplode("aliases").alias("no", "alias")).withColumn("alias", T.city_key(F.col("alias"))).where("alias <> ''")
+    names = F.concat(F.array("display_name"), F.coalesce("aliases", F.array()))
+    alias = seeds.select("seed", "display_name", "country", F.posexplode(names).alias("no", "alias")).withColumn("alias", T.city_key(F.col("alias"))).where("alias <> ''")
+    longest = alias.agg(F.max(F.size(F.split("alias", " ")))).collect()[0][0] or 1
     v = values.select(T.city_key(F.col(value)).alias("k")).distinct()
     w = F.split("k", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i + 1)), lambda n: F.array_join(F.slice(w, i, n), " "))))
     hits = v.select("k", F.explode(F.array_distinct(runs)).alias("alias")).join(alias, "alias")
-    best = hits.groupBy("k").agg(F.min_by(F.struct("seed", "display_name", "country", "alias"), F.struct(-F.length("alias"), "seed", "no")).alias("b"))
-    return values.select(key, T.city_key(F.col(value)).alias("k")).join(best, "k", "left").select(key, "b.seed", "b.display_name", "b.country", "b.alias")
+    own = T.city_key(F.col("display_name")) == F.col("alias")
+    best = hits.groupBy("k").agg(F.min_by(F.struct("seed", "display_name", "country", "alias", own.alias("own_name")), F.struct(-F.length("alias"), "seed", "no")).alias("b"))
+    return values.select(key, T.city_key(F.col(value)).alias("k")).join(best, "k", "left").select(key, "b.seed", "b.display_name", "b.country", "b.alias", "b.own_name")
 
 
 def refresh_geography(affiliations: DataFrame, seeds: DataFrame) -> DataFrame:
-    """City, source and confidence of every affiliation: the city's own text first, then city, country
-    and name together (M12)."""
-    a = affiliations.select("affiliation_id", T.text(F.col("city")).alias("city"), F.concat_ws(" ", T.text(F.col("city")), T.text(F.col("country")), T.text(F.col("name"))).alias("all"))
-    one = resolve(a, seeds, "affiliation_id", "city").select("affiliation_id", F.col("seed").alias("s1"), F.col("display_name").alias("n1"))
-    two = resolve(a, seeds, "affiliation_id", "all").select("affiliation_id", F.col("seed").alias("s2"), F.col("display_name").alias("n2"))
-    found = F.coalesce("s1", "s2")
-    return one.join(two, "affiliation_id").select(
-        "affiliation_id", F.coalesce("n1", "n2").alias("city_name"), F.when(found.isNotNull(), "gazetteer").otherwise("unresolved").alias("geography_source"),
-        F.when(F.col("s1").isNotNull(), 0.95).when(F.col("s2").isNotNull(), 0.82).otherwise(0.0).alias("geography_confidence"))
+    """City, source and confidence of every affiliation (M12): one search over city, country and name
+    together; 0.95 where the alias found is the city's own name, 0.82 where it is another one."""
+    a = affiliations.select("affiliation_id", F.concat_ws(" ", T.text(F.col("city")), T.text(F.col("country")), T.text(F.col("name"))).alias("all"))
+    found = resolve(a, seeds, "affiliation_id", "all")
+    return found.select(
+        "affiliation_id", F.col("display_name").alias("city_name"), F.when(F.col("seed").isNotNull(), "gazetteer").otherwise("unresolved").alias("geography_source"),
+        F.when(F.col("own_name"), 0.95).when(F.col("seed").isNotNull(), 0.82).otherwise(0.0).alias("geography_confidence"))
 
 
 def base(links: DataFrame, articles: DataFrame, placed: DataFrame) -> DataFrame:
@@ -139,6 +146,11 @@ def totals(b: DataFrame) -> DataFrame:
     return b.agg(F.count_distinct("article_id").alias("articles"), F.count_distinct("author_id").alias("authors"), F.count_distinct("affiliation_id").alias("affiliations"), F.count_distinct("city_location_id").alias("cities"), F.count_distinct("country").alias("countries"))
 
 
+def years(b: DataFrame) -> DataFrame:
+    """AGG17: years at hand, newest first, in one row."""
+    return b.agg(F.sort_array(F.collect_set("year"), asc=False).alias("years"))  # as many as there are years
+
+
 def of_city(b: DataFrame, city_id: int, year: int | None = None) -> DataFrame:
     """Rows of a city; a year that the data lack is no condition (FLT14)."""
     out = b.where(F.col("city_location_id") == city_id)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomlex.functions import text as T
-from loomlex.functions.udf import clean_body_udf, slug_udf
+from loomlex.functions.udf import article_slug_udf, clean_body_udf
+from loomlex.session import stage_table
 
 
 def quality_report(texts: DataFrame, column: str = "body_text") -> DataFrame:
@@ -16,10 +17,18 @@ def quality_report(texts: DataFrame, column: str = "body_text") -> DataFrame:
     return texts.select("article_id", T.quality(F.col(column)).alias("q")).select("article_id", "q.*")
 
 
-def audit(articles: DataFrame, texts: DataFrame, most: int | None = 80) -> DataFrame:
-    """Published articles whose body has a flag, first ``most`` by id."""
+def audit(articles: DataFrame, texts: DataFrame, most: int | None = 80, pages: DataFrame | None = None) -> DataFrame:
+    """Published articles whose body has a flag, first ``most`` by id.
+
+    ``pages`` (article_id, empty_pages, image_pages, failed) of their files adds flags for these.
+    """
     body = articles.where("is_published").select("article_id", "title").join(texts.select("article_id", "body_text"), "article_id", "left")
-    out = body.select("article_id", "title", T.quality(F.col("body_text"))["flags"].alias("flags")).where(F.size("flags") > 0).orderBy("article_id")
+    flags = T.quality(F.col("body_text"))["flags"]
+    if pages is not None:
+        body = body.join(pages, "article_id", "left")
+        count = lambda name, c: F.when(F.col(c) > 0, F.concat(F.lit(f"{name}:"), F.col(c).cast("string")))
+        flags = F.concat(flags, F.array_compact(F.array(count("pdf_empty_pages", "empty_pages"), count("pdf_image_only_pages", "image_pages"), F.when(F.col("failed"), "pdf_read_failed"))))
+    out = body.select("article_id", "title", flags.alias("flags")).where(F.size("flags") > 0).orderBy("article_id")
     return out if most is None else out.limit(most)
 
 
@@ -66,13 +75,17 @@ def split_keywords(df: DataFrame, key: str, column: str) -> DataFrame:
     return k.groupBy(key, F.lower("name").alias("normalized")).agg(F.min_by("name", "no").alias("name"))
 
 
-def orphans(authors: DataFrame, affiliations: DataFrame, links: DataFrame, lemmas: DataFrame | None = None, tokens: DataFrame | None = None) -> DataFrame:
-    """(kind, id) of rows that nothing refers to."""
-    out = authors.join(links, "author_id", "left_anti").select(F.lit("author").alias("kind"), F.col("author_id").cast("string").alias("id")).unionByName(
-        affiliations.join(links.where("affiliation_id is not null"), "affiliation_id", "left_anti").select(F.lit("affiliation").alias("kind"), F.col("affiliation_id").cast("string").alias("id")))
-    if lemmas is not None and tokens is not None:
-        out = out.unionByName(lemmas.join(tokens, "lemma", "left_anti").select(F.lit("lemma").alias("kind"), F.col("lemma").alias("id")))
-    return out
+def orphans(authors: DataFrame, affiliations: DataFrame, links: DataFrame, keywords: DataFrame | None = None, keyword_links: DataFrame | None = None, files: DataFrame | None = None, used: DataFrame | None = None, lemmas: DataFrame | None = None, forms: DataFrame | None = None) -> DataFrame:
+    """(kind, id) of rows that nothing refers to (M8, M26, J11): authors and affiliations without links, keywords
+    without articles, files that no article names, lemmas without words."""
+    kinds = [("author", authors.join(links, "author_id", "left_anti"), "author_id"), ("affiliation", affiliations.join(links.where("affiliation_id is not null"), "affiliation_id", "left_anti"), "affiliation_id")]
+    if keywords is not None and keyword_links is not None:
+        kinds.append(("keyword", keywords.join(keyword_links, "normalized", "left_anti"), "normalized"))
+    if files is not None and used is not None:
+        kinds.append(("file", files.join(used, "file", "left_anti"), "file"))
+    if lemmas is not None and forms is not None:
+        kinds.append(("lemma", lemmas.join(forms, "lemma", "left_anti"), "lemma"))
+    return reduce(DataFrame.unionByName, (df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id")) for kind, df, c in kinds))
 
 
 def purge(df: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -80,9 +93,47 @@ def purge(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.where(~F.coalesce(F.col(column).isin(*values), F.lit(False)))
 
 
-def unseen(crawled: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Crawled rows whose key isn't stored."""
-    return crawled.join(known.select(key), key, "left_anti")
+def unseen(crawled: DataFrame, known: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """Crawled rows whose key isn't stored; the first ``most`` by key when a crawl is bounded."""
+    out = crawled.join(known.select(key), key, "left_anti")
+    return out if most is None else out.orderBy(key).limit(most)
+
+
+def body_with_fallback(new: DataFrame, files: DataFrame, existing: DataFrame) -> DataFrame:
+    """M4: (slug, body_text, origin): the body of an import, else the text of its saved file, else the one at hand."""
+    filled = lambda c: F.when(T.strip(F.col(c)) != "", F.col(c))
+    both = new.select("slug", "body_text").join(files.select("slug", F.col("text").alias("file_text")), "slug", "left").join(existing.select("slug", F.col("body_text").alias("old_text")), "slug", "left")
+    origin = F.when(filled("body_text").isNotNull(), "import").when(filled("file_text").isNotNull(), "file").when(filled("old_text").isNotNull(), "existing").otherwise("none")
+    return both.select("slug", F.coalesce(filled("body_text"), filled("file_text"), filled("old_text"), F.lit("")).alias("body_text"), origin.alias("origin"))
+
+
+def import_counters(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """AGG25: rows seen, created, updated, with and without a file of an import, in one row."""
+    old = existing.select(key).distinct().withColumn("old", F.lit(True))
+    own = new.dropDuplicates([key]).join(old, key, "left")
+    has = T.text(F.col("source_file")) != ""
+    return own.agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("old").isNull()).alias("created"), F.count_if(F.col("old")).alias("updated"), F.count_if(has).alias("with_file"), F.count_if(~has).alias("without_file"))
+
+
+def active_journal(journals: DataFrame) -> DataFrame:
+    """The first active journal by id."""
+    return journals.where("is_active").orderBy("journal_id").limit(1)
+
+
+def listed(df: DataFrame, query: str = "", fields: tuple[str, ...] = (), equal: dict | None = None) -> DataFrame:
+    """FLT16: rows of a management list: every word of the query in some field, and equal values."""
+    out = df
+    for c, v in (equal or {}).items():
+        out = out.where(F.col(c) == v)
+    for word in query.split():
+        out = out.where(reduce(lambda a, b: a | b, (T.has(F.col(c).cast("string"), F.lit(word)) for c in fields)))
+    return out
+
+
+def locked_out(failures: DataFrame, user: str, ts: str, limit: int = 8, width: str = "900 seconds") -> DataFrame:
+    """AGG26: (user, window, failures) of those with ``limit`` failures or more within a window."""
+    n = failures.groupBy(F.col(user).alias("user"), F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("failures"))
+    return n.where(F.col("failures") >= limit).select("user", F.unix_timestamp("w.start").alias("start_s"), "failures")
 
 
 def first_seen(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -92,13 +143,25 @@ def first_seen(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def unique_slugs(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Slugs of at most 255 characters, repeats numbered -2, -3 … in order.
+    """The first row of a slug keeps it; later ones, in ``order``, get -2, -3 … and skip every number that
+    makes the slug of another title.
 
-    Only rows that share a slug meet; the number is their rank in the slug's own window.
+    Rows are ranked by ranges of (slug, order), so that rows of one slug ('article' of empty titles, say)
+    lie in many tasks: places within a range, and the numbers of rows in the ranges before it.
     """
-    s = df.withColumn("base", slug_udf(column))
-    n = F.row_number().over(Window.partitionBy("base").orderBy(order))
-    return s.withColumn("n", n).withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(F.substring("base", 1, 250 - 4), F.lit("-"), F.col("n").cast("string")))).drop("n", "base")
+    keyed = df.withColumn("base", article_slug_udf(column))
+    width = keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = stage_table(keyed.repartitionByRange(int(width), "base", order).withColumn("range", F.spark_partition_id()), "slugs")
+    sizes = ranged.groupBy("base", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("base").orderBy("range")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("base", "range").orderBy(order))
+    ranked = ranged.withColumn("place", place).join(before, ["base", "range"]).withColumn("n", F.col("place") + F.col("before"))
+    natural = sizes.select(F.regexp_extract("base", r"^(.+)-(\d{1,9})$", 1).alias("of"), F.regexp_extract("base", r"^(.+)-(\d{1,9})$", 2).alias("k"), "base").distinct()
+    taken = natural.where((F.col("of") != "") & (F.concat_ws("-", "of", F.col("k").cast("int").cast("string")) == F.col("base"))).groupBy(F.col("of").alias("base")).agg(F.sort_array(F.collect_set(F.col("k").cast("int"))).alias("taken"))
+    number = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("n").cast("int"), lambda n, t: n + F.when((t >= 2) & (t <= n), 1).otherwise(0))
+    suffix = F.concat(F.lit("-"), number.cast("string"))
+    slug = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(F.substring(F.col("base"), F.lit(1), F.lit(255) - F.length(suffix)), suffix))
+    return ranked.join(taken, "base", "left").withColumn("slug", slug).select(*df.columns, "slug")
 
 
 def numbered_authors(records: DataFrame) -> DataFrame:

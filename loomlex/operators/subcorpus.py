@@ -54,8 +54,9 @@ def capable(users: DataFrame, flag: str) -> DataFrame:
     return users.where(F.coalesce(F.col(flag), F.lit(False)) | F.col("is_staff") | F.col("is_superuser"))
 
 
-def overlapping(marks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pairs (mark_id, wanted_id) of one user's marks in one article that overlap.
+def overlapping(marks: DataFrame, wanted: DataFrame, earlier: bool = False) -> DataFrame:
+    """Pairs (mark_id, wanted_id) of one user's marks in one article that overlap (J9); with ``earlier`` those
+    with a lesser mark_id only, when both sides are one table.
 
     Ranges are laid out in cells of 2048 characters, so that the join is on equal keys even when one
     article holds very many marks; a pair counts in the cell where its overlap starts.
@@ -65,10 +66,11 @@ def overlapping(marks: DataFrame, wanted: DataFrame) -> DataFrame:
     m = cells(marks.select("mark_id", "user_id", "article_id", "char_start", "char_end").where("char_end > char_start"), "char_start", "char_end")
     w = cells(wanted.select("wanted_id", "user_id", "article_id", F.col("char_start").alias("a"), F.col("char_end").alias("b")).where("b > a"), "a", "b")
     both = m.join(w, ["user_id", "article_id", "cell"]).where("char_start < b and char_end > a")
+    both = both.where("mark_id < wanted_id") if earlier else both
     return both.where(F.floor(F.greatest("char_start", "a") / cell) == F.col("cell")).select("mark_id", "wanted_id")
 
 
-def new_marks(marks: DataFrame, wanted: DataFrame, texts: DataFrame, most: int = 1600) -> DataFrame:
+def new_marks(marks: DataFrame, wanted: DataFrame, texts: DataFrame, most: int = 1600, earlier: bool = False) -> DataFrame:
     """Wanted highlights that can be stored: clamped to the text, without outer white space, not
     empty, not too long, overlapping no stored one (M16)."""
     t = wanted.join(texts.select("article_id", "body_text"), "article_id")
@@ -78,7 +80,7 @@ def new_marks(marks: DataFrame, wanted: DataFrame, texts: DataFrame, most: int =
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))
     t = t.withColumn("selected_text", T.strip(F.col("raw"))).withColumn("char_start", F.col("a") + lead).withColumn("char_end", F.col("a") + lead + F.length("selected_text"))
     good = t.where((F.col("selected_text") != "") & (F.length("selected_text") <= most)).select("wanted_id", "user_id", "article_id", "char_start", "char_end", "selected_text")
-    return good.join(overlapping(marks, good).select("wanted_id"), "wanted_id", "left_anti")
+    return good.join(overlapping(marks, good, earlier).select("wanted_id"), "wanted_id", "left_anti")
 
 
 def grouped_marks(marks: DataFrame, active: int | None = None) -> DataFrame:
@@ -100,6 +102,27 @@ def save_query(saved: DataFrame, row: DataFrame) -> DataFrame:
     return saved.join(row, ["user_id", "query_id"], "left_anti").unionByName(row)
 
 
+def with_result_count(row: DataFrame, ids: DataFrame) -> DataFrame:
+    """A saved query with the number of its results counted anew."""
+    return row.drop("result_count").join(F.broadcast(ids.agg(F.count(F.lit(1)).alias("result_count"))))  # one row
+
+
+def rename_query(saved: DataFrame, user_id: int, query_id: int, name: str) -> DataFrame:
+    """Its owner renames a saved query."""
+    own = (F.col("user_id") == user_id) & (F.col("query_id") == query_id)
+    return saved.withColumn("name", F.when(own, F.lit(name)).otherwise(F.col("name")))
+
+
+def delete_query(saved: DataFrame, user_id: int, query_id: int) -> DataFrame:
+    """Its owner deletes a saved query."""
+    return saved.where(~F.coalesce((F.col("user_id") == user_id) & (F.col("query_id") == query_id), F.lit(False)))
+
+
+def restore_members(members: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows removed last come back as they were, unless they are there again."""
+    return members.unionByName(removed.join(members, ["subcorpus_id", "article_id"], "left_anti").select(*members.columns))
+
+
 def log_activity(log: DataFrame, events: DataFrame) -> DataFrame:
     """M23, TS8: only known kinds, only signed-in users."""
     return log.unionByName(events.where(F.col("user_id").isNotNull() & F.col("activity_type").isin("search", "subcorpus", "export", "import", "login")).select(*log.columns))

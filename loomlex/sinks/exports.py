@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlex.functions import text as T
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """A CSV with a header; one file for reports, many for large tables."""
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """A CSV with a header; ``single`` writes one file, for reports of a bounded size."""
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
 
 
@@ -40,8 +40,35 @@ def json_page(ordered: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def bundle(frames: dict[str, DataFrame], most: int = 5_000) -> dict[str, list[dict]]:
-    """SNK5: named tables as lists of rows, each bounded by ``most``."""
-    return {k: [r.asDict(recursive=True) for r in v.limit(most).collect()] for k, v in frames.items()}
+    """SNK5: named tables as lists of rows.  A table of more than ``most`` rows is refused, never cut; such
+    tables are for :func:`write_bundle`."""
+    out = {}
+    for name, df in frames.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        out[name] = [r.asDict(recursive=True) for r in rows]
+    return out
+
+
+def write_bundle(frames: dict[str, DataFrame], path: str) -> None:
+    """SNK5 for tables of any size: a folder of JSON lines each."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def backup(spark: SparkSession, d: str, tables: list[str], target: str) -> DataFrame:
+    """SNK7: copies of tables below ``target``, and a manifest (name, rows, signature) of what was copied."""
+    rows = []
+    for name in tables:
+        src = spark.read.parquet(f"{d}/{name}.parquet")
+        src.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+        copy = spark.read.parquet(f"{target}/{name}.parquet")
+        got = copy.agg(F.count(F.lit(1)).alias("n"), T.signature(F.to_json(F.struct(*copy.columns))).alias("s")).collect()[0]
+        rows.append((name, got["n"], got["s"]))
+    manifest = spark.createDataFrame(rows, "name string, rows bigint, signature string")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{target}/manifest")  # a row a table
+    return manifest
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, buckets: int = 64) -> None:
