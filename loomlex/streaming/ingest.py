@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomlex.operators import index
+from loomlex.operators import analytics, index
 
 
 def activity_windows(events: DataFrame, ts: str = "ts", late: str = "30 minutes", width: str = "15 minutes") -> DataFrame:
@@ -27,6 +27,6 @@ def ingest_texts(spark: SparkSession, source: str, schema, target: str, checkpoi
     stream = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        index.term_counts(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        analytics.counted(index.sentences(batch)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -73,6 +73,35 @@ def test_chunks_cover_the_text(text, most):
     assert "".join(text.split()) == "".join("".join(t.split()) for t, _, _ in out)
 
 
+def test_repair_cp1251(spark):
+    for raw, want in (("РґР°", "да"), ("да", "да"), (None, None), ("", ""), ("a–b", "a–b"), ("Ð\x90", "Ð\x90"), ("мир 漢", "мир 漢")):
+        assert one(spark, T.repair_cp1251(F.col("a")), a=raw) == want
+
+
+def test_chunks_after_a_long_sentence():
+    long, short = "слово " * 30 + "конец.", "Ещё одна фраза."
+    text = f"Начало. {long} {short} {short}\n \nВторой"
+    out = [t for t, _, _ in cleaning.cut_chunks(text, 60)]
+    assert out[0] == "Начало." and all(not (x.startswith("слово") and short in x) for x in out)  # the rest stands alone
+    assert any(x.startswith(f"{short} {short}") for x in out) and cleaning.cut_chunks("а\n \nб", 60) == [("а\n \nб", 0, 5)]  # only two line feeds part
+
+
+def test_names(spark):
+    n = lambda f, a: tuple(one(spark, f(F.col("a")), a=a))
+    assert n(T.split_name, "Петров И. П.") == ("Петров", "И", "П") and n(T.split_name, "Петров") == ("Петров", "", "") and n(T.split_name, "а б в г д") == ("а", "б", "в г д")
+    assert n(T.split_crawled_name, "Ivan Petrov") == ("Petrov", "Ivan", "") and n(T.split_crawled_name, "Petrov") == ("Petrov", "", "")
+    assert one(spark, T.truncate(F.col("a"), 5), a="абвгдеж") == "абвг…" and one(spark, T.truncate(F.col("a"), 5), a="абвгд") == "абвгд"
+
+
+def test_kinds_of_lines():
+    kinds = {"": "blank", "Литература:": "back", "Keywords: a": "back", "ISSN 1": "margin", "12": "margin", "Раздел 3": "margin", "1. Иванов. URL: x (дата обращения: 1)": "margin", "1. Введение": "intro", "Обычная строка": "plain"}
+    assert {x: cleaning.kind_of(x) for x in kinds} == kinds
+    assert cleaning.window_of(["a", "", "b c", "d"], "c d", 4) == (0, 3) and cleaning.window_of(["a", "b c", "d"], "c d", 1) is None and cleaning.window_of(["x"], "", 2) is None
+    body = "Название статьи о рынке\nИванов И.И., Ижевск\n\nАннотация первая строка текста здесь\nвторая строка.\n\nУДК 33\nТекст дальше.\n\nReferences\n1. x"
+    assert cleaning.clean_body(body, "Название статьи о рынке", "Аннотация первая строка") == "Текст дальше."  # a leading repeat of the abstract goes
+    assert cleaning.clean_body(body.replace("Аннотация п", "П"), "Название статьи о рынке", "первая строка текста не та") == "Первая строка текста здесь вторая строка.\n\nТекст дальше."
+
+
 def test_body_cleaner():
     body = "ISSN 0000\nЗАГОЛОВОК\n\n12\nВведение\nПервый абзац текста .\n\nВторой абзац( да ).\n\nЛитература\n1. x"
     assert cleaning.clean_body(body, "Заголовок", "") == "Первый абзац текста.\n\nВторой абзац (да)." or cleaning.clean_body(body, "Заголовок", "").startswith("Первый абзац текста.")
@@ -81,5 +110,5 @@ def test_body_cleaner():
 
 def test_bytes():
     assert cleaning.decode_upload("да".encode("cp1251")) == "да" and cleaning.decode_upload("﻿да".encode()) == "да" and cleaning.decode_upload(None) == ""
-    assert cleaning.repair_cp1251("РґР°") == "да" and cleaning.repair_cp1251("да") == "да" and cleaning.repair_cp1251(None) is None
+    assert cleaning.article_slug(" ! ") == "article" and cleaning.author_slug("Ünal, É.") == "unal-e" and cleaning.author_slug("Ы").startswith("author-")
     assert cleaning.slugify("Новый рынок!") == "новый-рынок" and len(cleaning.slugify("!!!")) == 10
