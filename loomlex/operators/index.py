@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomlex.functions import text as T
 from loomlex.functions.stemming import stem
 from loomlex.operators import catalog
-from loomlex.session import broadcast_if_small, kept, ship_package, stage_table
+from loomlex.session import broadcast_if_small, kept, ship_package
 
 #: A run of letters, a run of digits, or one other visible character.
 TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\p{Z}\s]"
@@ -206,6 +206,7 @@ def of_lexemes(index: DataFrame, names) -> DataFrame:
     return out
 
 
-def store_index(index: DataFrame) -> DataFrame:
-    """An index that isn't kept by a session, staged once."""
-    return stage_table(index, "postings")
+def replace_articles(kept_rows: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows of a token table or an index after the texts of the ``changed`` articles were saved anew (M2): theirs go,
+    the fresh ones come.  An article whose text is empty now is in ``changed`` only."""
+    return kept_rows.join(changed.select("article_id").distinct(), "article_id", "left_anti").unionByName(fresh, allowMissingColumns=True)

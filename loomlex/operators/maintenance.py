@@ -178,3 +178,15 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """AGG25: the import with counters that fill when it runs."""
     o = Observation(name)
     return df.observe(o, F.count(F.lit(1)).alias("seen"), F.count_if(F.col("is_published")).alias("published")), o
+
+
+def missing_vectors(articles: DataFrame, postings: DataFrame) -> DataFrame:
+    """AGG23: published articles that the index has no word of."""
+    return articles.where("is_published").join(postings.select("article_id").distinct(), "article_id", "left_anti")
+
+
+def synced_roles(users: DataFrame, roles: DataFrame, default: str) -> DataFrame:
+    """Users with the flags of their role; users without a known role get the default one."""
+    known = users.join(F.broadcast(roles.select("role", F.lit(True).alias("known"))), "role", "left")  # one row a role
+    assigned = known.withColumn("role", F.when(F.col("known"), F.col("role")).otherwise(F.lit(default))).drop("known")
+    return assigned.join(F.broadcast(roles), "role")

@@ -274,6 +274,18 @@ def agg23_audit_counters(spark, d):
     return maintenance.audit_counters(catalog.articles(spark, d), _texts(spark, d))
 
 
+def agg23_missing_vectors(spark, d):
+    return maintenance.missing_vectors(catalog.articles(spark, d), index.posting_table(spark, d)).select("article_id")
+
+
+def m2_saved_texts(spark, d):
+    """Words of the index after the English articles were saved without their bodies."""
+    english = catalog.articles(spark, d).where("language = 'en'")
+    saved = _texts(spark, d).join(english, "article_id", "left_semi").withColumn("body_text", F.lit(None).cast("string"))
+    table_now = index.replace_articles(_sentences(spark, d), index.sentences(saved), saved)
+    return table_now.groupBy("section").agg(F.sum(F.size("tokens")).alias("tokens"), F.count_distinct("article_id").alias("articles"))
+
+
 def m11_repair_candidates(spark, d):
     return maintenance.repair_candidates(catalog.articles(spark, d), _texts(spark, d), "quality").select("article_id")
 
@@ -313,7 +325,7 @@ def agg1_documents_freq(spark, d):
 QUERIES = {f.__name__: f for f in (
     agg1_word_freq_all, agg1_word_freq_curated, agg2_lemma_freq, agg3_top_words, flt6_label_search, w1_bigrams, agg4_lemma_bigrams, w2_top_bigrams, agg5_compare_periods, agg6_compare_subcorpora, l1_compare_left_desc,
     agg22_text_sizes, scl13_tokens, j4_token_lemmas, m22_lemmas, scl3_token_languages, scl13_token_spans, w7_section_offsets, scl14_sections, ts3_word_hits, ts3_lemma_hits, ts5_contexts, ts5_lemma_contexts, fts1_postings, fts1_lexemes,
-    fts2_query_configs, fts3_and_not, fts3_or, fts4_phrase, fts6_rank_term, fts6_rank_terms, fts7_headlines, m14_payload_articles, set4_mode_alone, flt2_catalogue_search, flt9_missing_body, scl9_quality, m18_audit, agg23_audit_counters,
+    fts2_query_configs, fts3_and_not, fts3_or, fts4_phrase, fts6_rank_term, fts6_rank_terms, fts7_headlines, m14_payload_articles, set4_mode_alone, flt2_catalogue_search, flt9_missing_body, scl9_quality, m18_audit, agg23_audit_counters, agg23_missing_vectors, m2_saved_texts,
     m11_repair_candidates, scl10_clean_bodies, scl16_chunks, l4_chunk_pages, scl11_paragraphs, scl6_sanitized, scl12_flattened, agg1_documents_freq,
 )}
 
@@ -416,6 +428,8 @@ SQL = {
     "m18_audit": f"WITH {ARTICLE}, {TEXT}{_QUAL} SELECT article_id, coalesce(flags, 'empty_text') AS flags FROM article LEFT JOIN q3 USING (article_id) WHERE is_published AND coalesce(flags, 'empty_text') <> '' ORDER BY 1 LIMIT 80",
     "agg23_audit_counters": f"""WITH {ARTICLE}, {TEXT}{_QUAL} SELECT count(*)::BIGINT AS articles, count_if(coalesce(flags, 'empty_text') <> '')::BIGINT AS flagged, count_if(coalesce(private_use_count, 0) > 0)::BIGINT AS private_use,
       count_if(coalesce(char_count, 0) = 0)::BIGINT AS empty, count_if(coalesce(source_file, '') = '' AND coalesce(original_url, '') = '')::BIGINT AS without_source FROM article LEFT JOIN q3 USING (article_id) WHERE is_published""",
+    "agg23_missing_vectors": BASE + _POST + " SELECT article_id FROM article WHERE is_published AND article_id NOT IN (SELECT article_id FROM post)",
+    "m2_saved_texts": BASE + " SELECT section, count(*)::BIGINT AS tokens, count(DISTINCT article_id)::BIGINT AS articles FROM tok WHERE section <> 'body' OR article_id NOT IN (SELECT article_id FROM article WHERE language = 'en') GROUP BY 1",
     "m11_repair_candidates": f"WITH {ARTICLE}, {TEXT}{_QUAL} SELECT article_id FROM article JOIN q3 USING (article_id) WHERE is_published AND flags <> ''",
     "scl6_sanitized": f"WITH {TEXT} SELECT article_id, md5({clean_sql('body_text')}) AS hash FROM txt",
     "scl12_flattened": f"WITH {TEXT} SELECT article_id, length(concat_ws(chr(10) || chr(10), nullif({clean_sql('title_text')}, ''), nullif({clean_sql('abstract_text')}, ''), nullif({clean_sql('keywords_text')}, ''), nullif({clean_sql('body_text')}, '')))::INT AS chars FROM txt",

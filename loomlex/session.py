@@ -53,15 +53,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the staged tables of all queries so far, for drivers that live long; their number.
+
+    Only for when no result of these queries is to be read any more.  Tables that are kept for later
+    queries (:func:`kept`) stay.
+    """
+    n = len(_STAGED)
+    while _STAGED:
+        _remove(spark, _STAGED.pop())
+    return n
+
+
 def stage_table(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The files are removed when the driver process ends.
+    The files are removed when the driver process ends, or by :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomlex-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     drop_at_exit(spark, path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -96,15 +112,15 @@ def kept(spark: SparkSession, d: str, tables: tuple[str, ...], label: str, build
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Remove the files at ``path`` when the driver process ends."""
 
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone already
-            pass
+    atexit.register(_remove, spark, path)
+
 
-    atexit.register(drop)
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone already
+        pass
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -207,6 +207,27 @@ def test_gazetteer(spark):
     assert geo.refresh_geography(a.limit(1).withColumn("name", F.lit("")), geo.gazetteer(spark)).first()["geography_confidence"] == 0.95
 
 
+def test_geocoder_answers_and_roles(spark):
+    a = spark.createDataFrame([(1, "", "", "Институт моря"), (2, "Казань", "", "Институт моря"), (3, "", "", "нигде")], "affiliation_id long, city string, country string, name string")
+    lookup = spark.createDataFrame([("Институт моря", "Лукоморск"), ("Институт моря", "Ясск")], "name string, display_name string")
+    rows = {r["affiliation_id"]: (r["city_name"], r["geography_source"], r["geography_confidence"]) for r in geo.refresh_geography(a, geo.gazetteer(spark), lookup).collect()}
+    assert rows == {1: ("Лукоморск", "geocoder", 0.62), 2: ("Казань", "gazetteer", 0.95), 3: (None, "unresolved", 0.0)}
+    roles = spark.createDataFrame([("reader", False), ("editor", True)], "role string, can_edit boolean")
+    users = spark.createDataFrame([(1, "editor"), (2, None), (3, "gone")], "user_id long, role string")
+    assert {(r["user_id"], r["role"], r["can_edit"]) for r in maintenance.synced_roles(users, roles, "reader").collect()} == {(1, "editor", True), (2, "reader", False), (3, "reader", False)}
+
+
+def test_staged_tables_are_released(spark):
+    import os
+
+    from loomlex import session
+
+    staged = session.stage_table(spark.range(3))
+    path = staged.inputFiles()[0].removeprefix("file://")
+    assert staged.count() == 3 and os.path.exists(path)
+    assert session.release(spark) >= 1 and not os.path.exists(path)
+
+
 def test_upserts_and_orphans(spark):
     a = spark.createDataFrame([(1, "x"), (None, "n")], "k long, v string")
     b = spark.createDataFrame([(None, "m"), (2, "y")], "k long, v string")
