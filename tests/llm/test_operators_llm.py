@@ -495,9 +495,9 @@ def test_marks_in_headers_are_penalties_only():
 
 def test_survey_counts_headers_with_end_marks(spark):
     rows = [(i, "", "\n".join(page("Вестник экономики."))) for i in range(5)]
-    _, lines = scans.survey(spark.createDataFrame([(*r, True) for r in rows], "text_id long, title_text string, body string, narrow boolean"))
+    _, lines, sample = scans.survey(spark.createDataFrame(rows, "text_id long, title_text string, body string"))
     headers = {r["text_id"]: frozenset(r["headers"]) for r in scans.header_keys(lines).collect()}
-    assert set(headers) == set(range(5)) and all("вестникэкономики" in h for h in headers.values())
+    assert sample.count() == 5 and set(headers) == set(range(5)) and all("вестникэкономики" in h for h in headers.values())
     assert scans.classify(page("Вестник экономики."), "", headers[0])[1][3] == scans.HEADER
 
 
