@@ -300,12 +300,18 @@ def probes(surname: str, k: int = 1) -> list[tuple[int, int, str]]:
 
 
 def surname_pairs(forms: DataFrame) -> DataFrame:
-    """Pairs (a, b, initial) of different surnames within the reach of both that share an initial."""
-    keys = stage_table(forms.where("surname <> '' and initial <> ''").select("surname", "initial").distinct(), "surnames")
-    keys = keys.where(F.length("surname") > 2)
-    index = _map(keys, "a string, initial string, k int, n int, part int, text string", lambda r: [(r[0], r[1], k, len(r[0]), i, t) for k in range(1, reach(r[0]) + 1) for i, t in segments(r[0], k)])
-    probe = _map(keys, "b string, initial string, k int, n int, part int, text string", lambda r: [(r[0], r[1], k, n, i, t) for k in range(1, reach(r[0]) + 1) for n, i, t in probes(r[0], k)])
-    found = probe.join(index, ["initial", "k", "n", "part", "text"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "initial").distinct()
+    """Pairs (a, b, initial) of different surnames within the reach of both that share an initial.
+
+    Two edits count only beside equal given and middle names, so with k = 2 surnames are looked up among
+    those of their middle initial (``second``) as well.
+    """
+    keys = stage_table(forms.where("surname <> '' and initial <> '' and length(surname) > 2").select("surname", "initial", "second").distinct(), "surnames")
+    block = F.when(F.col("k") == 1, F.col("initial")).otherwise(F.concat_ws("|", "initial", "second"))
+    blocks = keys.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).where(f"k = 1 or (length(surname) >= {LONG} and second <> '{NONE}')").select("surname", block.alias("block"), "initial", "k").distinct()
+    shape = "block string, initial string, k int, n int, part int, text string"
+    index = _map(blocks, "a string, " + shape, lambda r: [(*r[:4], len(r[0]), i, t) for i, t in segments(r[0], r[3])])
+    probe = _map(blocks, "b string, " + shape, lambda r: [(*r[:4], n, i, t) for n, i, t in probes(r[0], r[3])]).drop("initial")
+    found = probe.join(index, ["block", "k", "n", "part", "text"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "initial").distinct()
     return _map(found, "a string, b string, initial string", lambda r: [r] if close(r[0], r[1]) else [])
 
 
