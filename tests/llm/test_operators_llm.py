@@ -513,7 +513,8 @@ def test_spam_and_prose():
     menu = lambda: "\n".join(f"купить {rng.choice(goods)} цена" for _ in range(20))
     books = lambda: "\n".join(f"{i}. Петров П. Рынок и политика // Журнал. 20{10 + i}. № 1. С. 5." for i in range(1, 9))
     phrases = lambda: " ".join(f"{rng.choice(['рыночная агломерация', 'городской транспорт', 'кредитный аудит'])}{rng.choice(['', '.', ','])}" for _ in range(60))
-    kinds = (prose, prose, prose, links, tags, menu, books, phrases)
+    short = lambda: rng.choice(["Нет текста", "Анализ занятости.", "Статья снята", "Рынок и политика"])
+    kinds = (prose, prose, prose, links, tags, menu, books, phrases, short)
     model = spam.train([k() for k in kinds for _ in range(40)])
     bare = spam.Words()
     share = lambda t: spam.spam_share(*spam.label(model, t, bare))
