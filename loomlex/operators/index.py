@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loomlex.functions import text as T
 from loomlex.functions.stemming import stem
 from loomlex.operators import catalog
-from loomlex.session import broadcast_if_small, kept, ship_package
+from loomlex.session import broadcast_if_small, kept, ship_package, spread
 
 #: A run of letters, a run of digits, or one other visible character.
 TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\p{Z}\s]"
@@ -133,21 +133,27 @@ def lexemes(forms: DataFrame) -> DataFrame:
     return forms.select("form", F.explode(both).alias("x")).select("form", "x.*").where("lexeme <> ''")
 
 
+def word_table(spark: SparkSession, d: str) -> DataFrame:
+    """The vocabulary, staged once; its words are analysed on all cores however few files it fills."""
+    return spread(kept(spark, d, ("article_text",), "words", lambda: vocabulary(sentence_table(spark, d))))
+
+
 def lemma_table(spark: SparkSession, d: str) -> DataFrame:
-    return kept(spark, d, ("article_text",), "lemmas", lambda: lemmas(vocabulary(sentence_table(spark, d))))
+    return kept(spark, d, ("article_text",), "lemmas", lambda: lemmas(word_table(spark, d)))
 
 
 def lexeme_table(spark: SparkSession, d: str) -> DataFrame:
-    return kept(spark, d, ("article_text",), "lexemes", lambda: lexemes(vocabulary(sentence_table(spark, d))))
+    return kept(spark, d, ("article_text",), "lexemes", lambda: lexemes(word_table(spark, d)))
 
 
 def text_sizes(sents: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
     """Tokens and distinct lemmas of every article (AGG22).  Narrow rows of one text only meet again
     under its id, with partial sums for the count."""
     total = sents.groupBy("article_id").agg(F.sum(F.size("tokens")).alias("token_count"))
-    words = sents.select("article_id", F.explode(F.array_distinct(F.array_compact("norms"))).alias("form")).distinct()
+    words = sents.select("article_id", F.explode(F.array_distinct(F.array_compact("norms"))).alias("form"))
     if lexicon is not None:
-        words = words.join(broadcast_if_small(lexicon.select("form", "lemma")), "form", "left").select("article_id", F.coalesce("lemma", "form").alias("form")).distinct()
+        words = words.join(broadcast_if_small(lexicon.select("form", "lemma")), "form", "left").select("article_id", F.coalesce("lemma", "form").alias("form"))
+    words = words.distinct()
     kinds = words.groupBy("article_id").agg(F.count(F.lit(1)).alias("lemma_count"))
     return total.join(kinds, "article_id", "left").select("article_id", "token_count", F.coalesce("lemma_count", F.lit(0)).cast("bigint").alias("lemma_count"))
 
