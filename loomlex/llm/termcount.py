@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from loomlex.session import broadcast_if_small, drop_at_exit, shared_dir, ship_package, stage_table, table
 
-BUCKETS = 64
+BUCKETS = 16
 #: The term whose records are all records that have a row.
 RECORDS = ""
 #: Entries after which a task hands on what it has counted so far.
@@ -220,7 +220,7 @@ class TermStore:
         new = both.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences > 0 or records > 0")
         number = state["number"] + 1
         folder = f"{self.path}/v{number}-{uuid.uuid4().hex}"
-        new.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(folder)
+        new.withColumn("bucket", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(folder)
         written = {s.getPath().getName() for s in self.fs.listStatus(self.jvm.org.apache.hadoop.fs.Path(folder))}
         kept = {b: p for b, p in state["buckets"].items() if int(b) not in set(hit)}
         kept |= {str(b): f"{folder}/bucket={b}" for b in hit if f"bucket={b}" in written}
@@ -235,8 +235,9 @@ class TermStore:
         folders = list(self.state()["buckets"].values())
         return self._read(folders) if folders else self.spark.createDataFrame([], self.SCHEMA)
 
-    def records(self) -> int:
-        one = self.read().where(F.col("term") == RECORDS).select("records").collect()
+    def records(self, prefix: str = "") -> int:
+        """Number of records, of a field where keys begin with its name."""
+        one = self.read().where(F.col("term") == prefix + RECORDS).select("records").collect()
         return one[0][0] if one else 0
 
 
@@ -252,25 +253,26 @@ def _two_changes(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(~late), rows.where(late)
 
 
-def _filled(spark: SparkSession, rows: DataFrame, by: str, value: str, delta) -> TermStore:
-    """A store with the earlier half of ``rows`` loaded and the later half merged as a change."""
-    path = f"{shared_dir(spark)}/loomlex-terms-{uuid.uuid4().hex}"
-    drop_at_exit(spark, path)
-    store = TermStore(spark, path)
-    early, late = _two_changes(rows, by)
-    store.apply("load", delta(signed_changes(None, early, "", value)))
-    store.apply("late rows", delta(added_changes(early, late, value)))
-    return store
+def of_field(delta: DataFrame, field: str) -> DataFrame:
+    """Changes under keys that name their field as well, so that one store holds several."""
+    return delta.withColumn("term", F.concat(F.lit(field + "\t"), "term"))
 
 
 def _all_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Both fields in one store: the rows up to the median time of change are loaded, the later ones merged as a
+    change, the counts read from the store."""
+    path = f"{shared_dir(spark)}/loomlex-terms-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    store = TermStore(spark, path)
+    body, words = "article_text.body_text", "article_metadata.keywords"
     text = table(spark, d, "article_text").select("article_id", "updated_at", F.col("body_text").alias("text"))
-    words = table(spark, d, "article_metadata").select("article_id", "ingested_at", F.col("keywords").alias("terms"))
-    body, keys = _filled(spark, text, "updated_at", "text", text_delta), _filled(spark, words, "ingested_at", "terms", list_delta)
-    both = body.read().where(F.col("term") != RECORDS).withColumn("field_name", F.lit("article_text.body_text")).unionByName(
-        keys.read().withColumn("field_name", F.lit("article_metadata.keywords"))
-    )
-    return verdicts(both, body.records())
+    keys = table(spark, d, "article_metadata").select("article_id", "ingested_at", F.col("keywords").alias("terms"))
+    (text1, text2), (keys1, keys2) = _two_changes(text, "updated_at"), _two_changes(keys, "ingested_at")
+    signed = lambda rows, value: rows.select("article_id", value, F.lit(1).alias("sign"))
+    store.apply("load", of_field(text_delta(signed(text1, "text")), body).unionByName(of_field(list_delta(signed(keys1, "terms")), words)))
+    store.apply("late rows", of_field(text_delta(added_changes(text1, text2, "text")), body).unionByName(of_field(list_delta(added_changes(keys1, keys2, "terms")), words)))
+    counts = store.read().select(F.substring_index("term", "\t", 1).alias("field_name"), F.substring_index("term", "\t", -1).alias("term"), "occurrences", "records")
+    return verdicts(counts.where(F.col("term") != RECORDS), store.records(body + "\t"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
