@@ -278,11 +278,12 @@ def label_of(c):
 
 
 def _fit_from(spark: SparkSession, d: str) -> tuple[dict, dict, float]:
-    text = table(spark, d, "article_text").where(~blank(F.col("body_text")))
-    picked = text.select("text_id").orderBy(F.xxhash64("text_id"), "text_id").limit(SAMPLE).distinct()
-    part = text.join(F.broadcast(picked), "text_id", "left_semi").dropDuplicates(["text_id"]).select("article_id", F.substring("body_text", 1, SAMPLE_CHARS).alias("body"))  # at most SAMPLE ids
+    text = table(spark, d, "article_text")
+    picked = text.select("text_id").where("text_id is not null").orderBy(F.xxhash64("text_id"), "text_id").limit(SAMPLE).distinct()
+    part = text.join(F.broadcast(picked), "text_id", "left_semi").select("text_id", "article_id", F.substring("body_text", 1, SAMPLE_CHARS).alias("body")).dropDuplicates(["text_id"])  # at most SAMPLE ids
     labels = table(spark, d, "article_metadata").groupBy("article_id").agg(F.min(label_of(F.col("language"))).alias("label"))
-    return fit([(r[0], r[1]) for r in part.join(labels, "article_id", "left").orderBy("article_id", "body").select("body", "label").collect()])
+    rows = part.join(labels, "article_id", "left").orderBy("article_id", "body").select("body", "label").collect()
+    return fit([(r["body"], r["label"]) for r in rows if r["body"] and not r["body"].isspace()])
 
 
 def _segments_frame(spark: SparkSession, d: str) -> DataFrame:
