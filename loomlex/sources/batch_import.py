@@ -9,7 +9,7 @@ from pyspark.sql import types as S
 
 from loomlex.functions import text as T
 from loomlex.functions.udf import decode_upload_udf
-from loomlex.sources.html_page import read_issue, read_page
+from loomlex.sources.html_page import HEADING_CLASSES, read_issue, read_page
 
 AUTHOR = S.StructType([S.StructField(n, S.StringType()) for n in ("first_name", "last_name", "middle_name", "affiliation", "display_name", "slug")])
 ARTICLE = S.StructType([
@@ -110,12 +110,12 @@ def page_udf():
     return parse
 
 
-def issue_udf():
+def issue_udf(headings: tuple[str, ...] = HEADING_CLASSES):
     """UDF (html, url) -> heading, day and articles of an issue page (SRC4)."""
 
     @F.pandas_udf(ISSUE)
     def parse(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        rows = [read_issue(h, u or "") for h, u in zip(html, url)]
+        rows = [read_issue(h, u or "", headings) for h, u in zip(html, url)]
         return pd.DataFrame({k: [r[k] for r in rows] for k in ("heading", "published", "articles")})
 
     return parse
@@ -153,11 +153,12 @@ def issue_links(pages: DataFrame) -> DataFrame:
     return links.where(F.contains("link", F.lit("/issue/view/")))
 
 
-def issue_articles(pages: DataFrame) -> DataFrame:
-    """Articles of issue pages from (url, html) with volume, number, year, day and section (SRC4, SRC7).
+def issue_articles(pages: DataFrame, headings: tuple[str, ...] = HEADING_CLASSES) -> DataFrame:
+    """Articles of issue pages from (url, html) with volume, number, year, day and section (SRC4, SRC7);
+    ``headings`` are the classes of headings of issues, in order of preference.
 
     A page without a heading of an issue fails the job when its rows are used.
     """
-    p = pages.select("url", issue_udf()("html", "url").alias("p"))
+    p = pages.select("url", issue_udf(headings)("html", "url").alias("p"))
     p = p.select("url", issue_heading(F.col("p.heading")).alias("h"), T.parse_date(F.col("p.published")).alias("day"), F.posexplode("p.articles").alias("pos", "a"))
     return p.select(F.col("url").alias("issue_url"), "h.volume", "h.number", "h.year", "day", "pos", F.col("a.url").alias("url"), "a.pdf_url", "a.section")

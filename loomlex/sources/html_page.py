@@ -110,13 +110,17 @@ def read_page(html: str | None, url: str = "") -> dict:
     }
 
 
-def read_issue(html: str | None, url: str = "") -> dict:
+#: Fixed value: the class of the heading of an issue page; themes may have others.
+HEADING_CLASSES = ("current_issue_title",)
+
+
+def read_issue(html: str | None, url: str = "", headings: tuple[str, ...] = HEADING_CLASSES) -> dict:
     """Heading, day of publication and the articles of an issue page by section (SRC4).
 
-    The heading is empty when the page has none.  A page without section blocks is one section.
+    The heading is the first element of the first class in ``headings`` that the page has, or empty.  A page without section blocks is one section.
     """
     root = tree(html)
-    heading = next((squeeze(n.text()) for name in ("current_issue_title", "istu_section_small_margin") for n in root.find((None, name))[:1]), "")
+    heading = next((squeeze(n.text()) for name in headings for n in root.find((None, name))[:1]), "")
     published = ""
     for n in root.walk():
         if any(isinstance(c, str) and re.search("опубликован", c, re.I) for c in n.children):

@@ -291,6 +291,8 @@ def test_html_pages(spark):
     pages = spark.createDataFrame([("http://h/issue/view/3", issue.replace("7,", "7"))], "url string, html string")
     got = [tuple(r) for r in batch_import.issue_articles(pages).orderBy("pos").select("volume", "number", "year", F.col("day").cast("string"), "url", "pdf_url", "section").collect()]
     assert got == [("7", "2", 2021, "2021-03-05", "http://h/article/view/5", "http://h/article/view/5/6", "Экономика"), ("7", "2", 2021, "2021-03-05", "http://h/article/view/8", "", "U")]
+    themed = pages.withColumn("html", F.replace("html", F.lit("current_issue_title"), F.lit("theme_title")))
+    assert batch_import.issue_articles(themed, ("current_issue_title", "theme_title")).first()["volume"] == "7"
     h = spark.sql("select 'Том 3 № 2 (2024)' as h").select(batch_import.issue_heading(F.col("h")).alias("x")).first()["x"]
     assert tuple(h) == ("3", "2", 2024)
 
