@@ -418,6 +418,19 @@ def test_scanned_page(spark):
     assert editor.edit("щ" * 5000) == ("щ" * 5000, -1) and editor.edit("рын0к" * 900)[1] == 3
 
 
+def test_misreadings_that_recur_in_unscanned_bodies_stay_misreadings(spark):
+    good = [*PARA.split(), "отдельных", "условиях", "производство", "экономике", "потребность", "конкуренция"]
+    bad = [w.replace("о", "0", 1) for w in good if "о" in w and len(w) > 4]
+    rows = [("word", w, 4000) for w in good] + [("scan", w, 1000) for w in good] + [("word", "стидашов", 2), ("scan", "стидашов", 1)]
+    rows += [("word", w, 50) for w in bad] + [("scan", w, 700) for w in bad] + [("word", "вестник", 7), ("scan", "вестник", 260)]
+    words = spark.createDataFrame(rows, "kind string, word string, n long")
+    confusions, pairs = scans.confusions_of(words)
+    assert set(confusions) == {("0", "о")} and {w for w, _ in pairs} == set(bad)
+    known = [tuple(r) for r in scans.known_words(words).collect()]
+    assert {w for w, _, doubt in known if doubt} == {*bad, "вестник"}
+    assert set(scans.lexicon_of(known, confusions)) == {*good, "стидашов", "вестник"}
+
+
 def test_line_ends_are_predicted(spark):
     editor = editor_of(spark)
     of = lambda line, after: editor.line_end(line, after)[0]
