@@ -10,9 +10,10 @@ neighbouring tokens of one chain as one stretch.
 
 *Word list and character model* come from the counts of every token of every value, read whole.  A
 damaged word that recurs is told from a clean one by the counts: it decodes to a word that is
-``RATIO`` times as frequent; a join of the words with what they decode to finds them.  What the
-driver holds is bounded: the ``LEXICON`` most frequent clean words and the ``TYPES`` most frequent
-clean tokens.  A word beyond these isn't dropped, it is judged by its characters.
+``RATIO`` times as frequent; a join of the words with what they decode to finds them.  The character
+model is counted over every clean token where the tokens lie; the driver gets the sums by trigram, as
+many as the alphabets have.  Every clean word that stands three times is known: the ``LEXICON`` most
+frequent ones are held in memory, with more than that all are in a file that the workers look up.
 
 *Short words.*  Among two or three letters nearly every pair of encodings turns some word into
 another one.  A token of ordinary looks that is short or decodes to no known word, and one whose
@@ -28,22 +29,28 @@ columns are ignored; of more than ``GROUPS`` groups the smaller ones share the s
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
 import re
+import shutil
+import sqlite3
+import tempfile
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlex.session import ship_package, spread, stage_table, table
 
 ROUNDS = 3
-#: Clean words that are known, and clean tokens that the character model is fitted on: the most frequent ones.
-LEXICON, TYPES = 60_000, 40_000
+#: Known words that are held in memory, the most frequent ones; further ones are looked up in a file.
+LEXICON = 60_000
 #: A word that decodes to a word so many times as frequent is a damaged one.
 RATIO = 3
 CACHE = 300_000
@@ -154,19 +161,63 @@ def tokens_of(text: str) -> list[str]:
     return _TOKEN.findall(text) if _ODD_SPACE.search(text) else text.split()
 
 
+@lru_cache(maxsize=2)
+def _connection(file: str, pid: int) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{SparkFiles.get(file)}?mode=ro&immutable=1", uri=True, check_same_thread=False)
+
+
+class Words(Set):
+    """Any number of words: ``often`` in memory, all of them in a file that Spark brings to every worker."""
+
+    def __init__(self, often: frozenset[str], file: str) -> None:
+        self.often, self.file = often, file
+
+    @classmethod
+    def of(cls, words: DataFrame, often: frozenset[str]) -> Words:
+        """All of ``words``, which pass through the driver one partition at a time."""
+        folder = tempfile.mkdtemp(prefix="loomlex-words-")
+        atexit.register(shutil.rmtree, folder, True)
+        file = f"{uuid.uuid4().hex}.sqlite"
+        db = sqlite3.connect(os.path.join(folder, file))
+        db.execute("create table words (word blob primary key) without rowid")
+        db.executemany("insert into words values (?)", ((r[0].encode(),) for r in words.toLocalIterator()))
+        db.commit()
+        db.close()
+        words.sparkSession.sparkContext.addFile(os.path.join(folder, file))
+        return cls(often, file)
+
+    @classmethod
+    def _from_iterable(cls, it) -> frozenset:
+        return frozenset(it)
+
+    def _ask(self, sql: str, *args):
+        return _connection(self.file, os.getpid()).execute(sql, args)
+
+    def __contains__(self, word) -> bool:
+        return word in self.often or self._ask("select 1 from words where word = ?", word.encode("utf-8", "surrogatepass")).fetchone() is not None
+
+    def __iter__(self) -> Iterator[str]:
+        return (r[0].decode() for r in self._ask("select word from words"))
+
+    def __len__(self) -> int:
+        return self._ask("select count(*) from words").fetchone()[0]
+
+
+def trigrams(token: str) -> list[str]:
+    """Trigrams of the lower-cased token, bounded by blanks."""
+    s = f"  {token.lower()} "
+    return [s[i - 2 : i + 1] for i in range(2, len(s))]
+
+
 class CharModel:
     """Interpolated trigrams of lower-cased characters, tokens bounded by blanks; and the known words."""
 
-    def __init__(self, tokens: dict[str, int], words: frozenset[str]) -> None:
+    def __init__(self, three: dict[str, int], words: Set[str]) -> None:
         self.name = uuid.uuid4().hex
-        three, two, one = Counter(), Counter(), Counter()
-        for t, n in tokens.items():
-            n = 1 + int(math.log2(n))  # types tell more than their repeats
-            s = f"  {t.lower()} "
-            for i in range(2, len(s)):
-                three[s[i - 2 : i + 1]] += n
-                two[s[i - 1 : i + 1]] += n
-                one[s[i]] += n
+        two, one = Counter(), Counter()
+        for k, n in three.items():
+            two[k[1:]] += n
+            one[k[2]] += n
         c2: Counter = Counter()
         for k, n in three.items():
             c2[k[:2]] += n
@@ -437,15 +488,27 @@ def fit_model(counts: DataFrame) -> CharModel:
             pairs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
             yield _columns([(w, n, f) for w, n in pairs if not w.isascii() for f in decodings(w)], schema)
 
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("gram", pa.string()), ("n", pa.int64())])
+        sums: Counter = Counter()
+        for b in batches:
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                weight = 1 + int(math.log2(n))  # types tell more than their repeats
+                for g in trigrams(t):
+                    sums[g] += weight
+        yield _columns(list(sums.items()), schema)
+
     tokens = counts.groupBy("token").agg(F.sum("n").alias("n")).mapInArrow(cores, "token string, core string, n bigint")
     tokens = stage_table(tokens, "cores")
     words = stage_table(tokens.where("core <> ''").groupBy("core").agg(F.sum("n").alias("n")), "words")
     before = words.mapInArrow(origins, "word string, n bigint, core string")
     damaged = stage_table(before.join(words.withColumnRenamed("n", "m"), "core").where(F.col("m") > RATIO * F.col("n")).select(F.col("word").alias("core")).distinct(), "damaged")
     clean = words.join(damaged, "core", "left_anti").groupBy(F.lower("core").alias("word")).agg(F.sum("n").alias("n"))
-    known = clean.where((F.col("n") >= 3) & (F.length("word") > 1)).orderBy(F.desc("n"), "word").limit(LEXICON)
-    types = tokens.join(damaged, "core", "left_anti").orderBy(F.desc("n"), "token").select("token", "n").limit(TYPES)
-    return CharModel({r[0]: r[1] for r in types.collect()}, frozenset(r[0] for r in known.collect()))
+    known = stage_table(clean.where((F.col("n") >= 3) & (F.length("word") > 1)), "known")
+    often = frozenset(r["word"] for r in known.orderBy(F.desc("n"), "word").limit(LEXICON).collect())
+    held = often if known.count() <= LEXICON else Words.of(known.select("word"), often)
+    three = tokens.join(damaged, "core", "left_anti").select("token", "n").mapInArrow(grams, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return CharModel({r["gram"]: r["n"] for r in three.orderBy("gram").collect()}, held)  # letters of the alphabets and marks, to the third at most
 
 
 def em_shares(counts: DataFrame, model: CharModel, rounds: int = ROUNDS) -> Shares:

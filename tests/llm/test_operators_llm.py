@@ -203,6 +203,22 @@ def test_recurring_damage_never_makes_a_clean_word_suspect(spark):
     assert fix.repair(mojibake.damage(0, "программы" * 60), "g|") == (True, "программы" * 60)  # a token of 1080 characters
 
 
+def test_words_past_those_in_memory_are_known(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "LEXICON", 3)
+    monkeypatch.setattr(mojibake, "TYPES", 3, raising=False)
+    texts = ["это было так и не иначе"] * 50 + ["региональный рынок", "бюджетный процесс", "ёжъ ыцщ"] * 4
+    few = model_of(spark, texts)
+    monkeypatch.setattr(mojibake, "LEXICON", 60_000)
+    monkeypatch.setattr(mojibake, "TYPES", 40_000, raising=False)
+    full = model_of(spark, texts)
+    assert {"региональный", "рынок", "бюджетный", "ыцщ", "было"} <= few.words and set(few.words) == set(full.words) and "неизвестно" not in few.words
+    assert few.three == full.three and few.log("процесс") == full.log("процесс")
+    tokens = [t for c in (0, 9, 15) for w in ("рынок", "процесс", "ёжъ", "ыцщ") if (t := encoded(c, w))] + ["ыцщ", "ёжъ"]
+    held = spark.sparkContext.broadcast(few)
+    far = dict(spark.sparkContext.parallelize(tokens, 2).map(lambda t: (t, mojibake.Explainer(held.value)[t])).collect())  # in the workers
+    assert far == {t: mojibake.Explainer(full)[t] for t in tokens} and any(far.values())
+
+
 def encoded(chain, text):
     try:
         return mojibake.damage(chain, text)
